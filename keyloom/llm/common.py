@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.sources.shared import remove, scratch_path, shared_dir, store
 
-__all__ = ["components", "global_rank", "hash_words", "mix64", "remove", "scratch_path", "shared_dir", "store", "word_count", "words"]
+__all__ = ["components", "global_rank", "hash_words", "mix64", "remove", "rows_of", "scratch_path", "shared_dir", "store", "word_count", "words"]
 
 #: A word is a run of anything but space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,6 +76,23 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return placed.join(base, "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
+SIEVE_BITS = 1 << 20
+
+
+def rows_of(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """docs joined with wanted by key. A bitmap of at most 128 KiB of the wanted keys first drops
+    most other rows of docs, so that their texts are not shuffled; the join alone decides."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    bits = np.zeros(SIEVE_BITS, bool)
+    found = wanted.select(bucket(key).alias("b")).distinct().toPandas()["b"].to_numpy()  # at most SIEVE_BITS rows
+    bits[found.astype(np.int64)] = True
+    packed = F.lit(np.packbits(bits, bitorder="little").tobytes())
+    b = bucket(key)
+    byte = F.conv(F.hex(F.substring(packed, (F.floor(b / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (b % 8 + 1).cast("int"))) != 0
+    return docs.where(hit).join(wanted, key)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for the nodes of an undirected edge table (a, b); the component is its
     smallest node. Alternating large-star and small-star rounds: each round hangs neighbours on the
