@@ -1,17 +1,20 @@
 """Near-duplicate groups by MinHash with tensored banding, candidates verified on full sets.
 
 Table keys are pairs: ``m`` hashes from a left collection and ``m`` from a right one, each made of
-two minhashes, give ``m * m`` tables of four minhashes from ``4 m`` instead of ``4 m * m`` minhash
-computations. With m = 12 a pair at similarity 0.8 shares no key with probability
-2 * 0.36 ** 12 < 1e-5. A key pair can only be shared if both of its halves are, so halves that
-occur once are dropped before pairs are formed, and most documents never form any.
+three minhashes, give ``m * m`` tables of six minhashes from ``6 m`` instead of ``6 m * m`` minhash
+computations. With m = 14 a pair at similarity 0.8 shares no key with probability
+2 * (1 - 0.8 ** 3) ** 14 < 1e-4, at 0.85 below 4e-6. A key pair can only be shared if both of its
+halves are, so halves that occur once are dropped before pairs are formed, and most documents
+never form any.
 
 Texts with equal sets are one node (128-bit digest of the set; the smallest id stands for them).
 Candidates are made without listing all pairs of a key: first every node meets the smallest node
 among those it shares keys with, then the smallest node of each of its keys; nodes found linked
 are joined into components. Only keys whose nodes are still in different components are looked at
-again: small ones pair by pair across components, large ones divided by further halves until they
-are small. A candidate is left out if the sizes exclude a link or if fewer than half of its 48
+again: small ones pair by pair across components, large ones divided, again and again, by those further
+halves that at most half of their nodes share. (A linked pair can then be missed only if every
+half it shares is also shared by most of a group of over ``SMALL`` nodes, with none of which it is
+linked in turn.) A candidate is left out if the sizes exclude a link or if fewer than half of its 84
 minhashes agree (at similarity 0.8 that has probability below 1e-7). Every other candidate is
 confirmed on the full shingle sets: 100 * intersection >= ``percent`` * union.
 
@@ -32,10 +35,11 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import components, gram_hashes, hash_words, mix64, rows_of, store, words
 
-SIDE = 12
+SIDE, DEPTH = 14, 3
 SMALL = 24
-_LINES = np.arange(1, 4 * SIDE + 1, dtype=np.uint64)
-_A, _B = mix64(_LINES) | np.uint64(1), mix64(_LINES + np.uint64(1 << 32))
+_LINES = np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64)
+_A, _B = ((mix64(_LINES + np.uint64(i << 32)) >> np.uint64(32)).astype(np.uint32) for i in (0, 1))
+_A |= np.uint32(1)
 
 
 def shingles(ws: list[bytes], k: int) -> np.ndarray:
@@ -47,17 +51,19 @@ def shingles(ws: list[bytes], k: int) -> np.ndarray:
 
 
 def minhashes(s: np.ndarray) -> np.ndarray:
-    low = np.full(len(_A), ~np.uint64(0))
-    for a in range(0, len(s), 1 << 15):
-        low = np.minimum(low, (s[a : a + (1 << 15), None] * _A + _B).min(0))
+    """Minima of a * x + b mod 2 ** 32 over the upper halves x of the shingle hashes."""
+    x, low = (s >> np.uint64(32)).astype(np.uint32), np.full(len(_A), ~np.uint32(0))
+    for at in range(0, len(x), 1 << 12):
+        low = np.minimum(low, (_A[:, None] * x[at : at + (1 << 12)] + _B[:, None]).min(1))
     return low
 
 
 def halves(low: np.ndarray) -> np.ndarray:
-    """Left then right keys of two minhashes each; the lowest bit tells the side."""
-    pair = mix64(mix64(low[0::2]) * np.uint64(3) + low[1::2] + np.arange(2 * SIDE, dtype=np.uint64))
-    side = np.repeat(np.array([0, 1], np.uint64), SIDE)
-    return (pair & ~np.uint64(1)) | side
+    """Left then right keys of ``DEPTH`` minhashes each; the lowest bit tells the side."""
+    key = np.arange(2 * SIDE, dtype=np.uint64)
+    for column in low.reshape(2 * SIDE, DEPTH).T:
+        key = mix64(key * np.uint64(3) + column)
+    return (key & ~np.uint64(1)) | np.repeat(np.array([0, 1], np.uint64), SIDE)
 
 
 _SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -71,7 +77,7 @@ def _scan(k: int):
                 s = shingles(words(text.as_py(), lower=True), k)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 low = minhashes(s) if len(s) else None
-                rows.append((doc_id, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), halves(low).view(np.int64) if len(s) else [], (mix64(low) >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) else b""))
+                rows.append((doc_id, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), halves(low).view(np.int64) if len(s) else [], (mix64(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) else b""))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCAN)], schema=_SCAN)
 
     return work
@@ -153,27 +159,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # every node with the smallest likely partner, then with the other smallest nodes of its keys
     likely = store(links.likely(stars(buckets).distinct()), "likely")
     edges = links.confirm(likely.groupBy("a").agg(F.min("b").alias("b")))
-    labels = components(edges)
-    edges = _more(links, edges, likely, labels)
-    labels = components(edges)
-    level, rows = 0, buckets.select("key", "node", "c")
-    while True:
+    edges, labels = _more(links, edges, likely, components(edges))
+    rows = buckets.select("key", "node", "c")
+    for level in range(16):  # a divided key has at most half the nodes
         apart = store(_apart(rows, labels), f"apart{level}")
-        close = apart.where(F.col("c") <= SMALL)
-        pairs = close.select("key", F.col("node").alias("a"), F.col("label").alias("la")).join(close.select("key", F.col("node").alias("b"), F.col("label").alias("lb")), "key")
-        pairs = pairs.where("a > b and la <> lb").select("a", "b").distinct()
-        wide = apart.where(F.col("c") > SMALL)
-        if level < 3:
-            rekeyed = wide.join(sides, "node").select("node", "key", F.explode(F.concat("l", "r")).alias("h")).select("node", F.xxhash64("key", "h").alias("key")).distinct()
-            size = rekeyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-            rows = store(rekeyed.join(size, "key"), f"divided{level}")
-        else:  # keys that stay large over many halves: across components, pair by pair
-            pairs = pairs.union(_across(wide)).distinct()
-        edges = _more(links, edges, links.likely(pairs), labels)
-        labels = components(edges)
-        level += 1
-        if level > 3 or rows.isEmpty():
+        if apart.isEmpty():
             break
+        edges, labels = _more(links, edges, links.likely(_across(apart.where(F.col("c") <= SMALL)).distinct()), labels)
+        wide = _apart(apart.where(F.col("c") > SMALL).select("key", "node", "c"), labels)
+        rows = _divided(wide, sides)
 
     found = first.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rows = scanned.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
@@ -187,10 +181,14 @@ def _label(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
     return df.join(got, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _more(links: _Links, edges: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """edges and those of the pairs, as far as these lie in different components."""
+def _more(links: _Links, edges: DataFrame, pairs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with those of the pairs that lie in different components, and the components then."""
     apart = _label(_label(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    return store(edges.union(links.confirm(apart)), "edges")
+    new = links.confirm(apart)
+    if new.isEmpty():
+        return edges, labels
+    edges = store(edges.union(new), "edges")
+    return edges, components(edges)
 
 
 def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,11 +199,22 @@ def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(wide: DataFrame) -> DataFrame:
+    """Pairs (a > b) of a key's nodes that lie in different components."""
     a = wide.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
     b = wide.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
     return a.join(b, "key").where("a > b and la <> lb").select("a", "b")
 
 
+def _divided(wide: DataFrame, sides: DataFrame) -> DataFrame:
+    """Large keys divided by every half that at most half of their nodes share. Keys with the same
+    nodes are divided once."""
+    same = wide.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("_x"), F.min("node").alias("_m"))
+    groups = wide.join(same, "key").select(F.xxhash64("_x", "_m", "c").alias("key"), "node", "c").distinct()
+    by = groups.join(sides, "node").select("key", "node", "c", F.explode(F.concat("l", "r")).alias("h"))
+    size = by.groupBy("key", "h").agg(F.count("*").alias("n"), F.max("c").alias("_c")).where("n > 1 and 2 * n <= _c").select("key", "h", "n")
+    return by.join(size, ["key", "h"]).select(F.xxhash64("key", "h").alias("key"), "node", F.col("n").alias("c"))
+
+
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without the members of near-duplicate groups but the one with the smallest id. Rows
     with a null id stay."""
