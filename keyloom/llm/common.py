@@ -84,13 +84,17 @@ def rows_of(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     most other rows of docs, so that their texts are not shuffled; the join alone decides."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
     bits = np.zeros(SIEVE_BITS, bool)
-    found = wanted.select(bucket(key).alias("b")).distinct().toPandas()["b"].to_numpy()  # at most SIEVE_BITS rows
-    bits[found.astype(np.int64)] = True
-    packed = F.lit(np.packbits(bits, bitorder="little").tobytes())
-    b = bucket(key)
-    byte = F.conv(F.hex(F.substring(packed, (F.floor(b / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (b % 8 + 1).cast("int"))) != 0
-    return docs.where(hit).join(wanted, key)
+    bits[wanted.select(bucket(key).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True  # at most SIEVE_BITS rows
+    packed = np.packbits(bits, bitorder="little")
+
+    def sieve(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            b = batch.column("_sieve").fill_null(0).to_numpy()
+            yield batch.filter(pa.array((packed[b >> 3] >> (b & 7) & 1).astype(bool))).drop_columns(["_sieve"])
+
+    return docs.withColumn("_sieve", bucket(key)).mapInArrow(sieve, docs.schema).join(wanted, key)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
