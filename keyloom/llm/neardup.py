@@ -206,13 +206,14 @@ def _across(wide: DataFrame) -> DataFrame:
 
 
 def _divided(wide: DataFrame, sides: DataFrame) -> DataFrame:
-    """Large keys divided by every half that at most half of their nodes share. Keys with the same
-    nodes are divided once."""
+    """Large keys divided by every half that at most half of their nodes share, as far as nodes of
+    different components share it. Keys with the same nodes are divided once."""
     same = wide.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("_x"), F.min("node").alias("_m"))
-    groups = wide.join(same, "key").select(F.xxhash64("_x", "_m", "c").alias("key"), "node", "c").distinct()
-    by = groups.join(sides, "node").select("key", "node", "c", F.explode(F.concat("l", "r")).alias("h"))
-    size = by.groupBy("key", "h").agg(F.count("*").alias("n"), F.max("c").alias("_c")).where("n > 1 and 2 * n <= _c").select("key", "h", "n")
-    return by.join(size, ["key", "h"]).select(F.xxhash64("key", "h").alias("key"), "node", F.col("n").alias("c"))
+    groups = wide.join(same, "key").select(F.xxhash64("_x", "_m", "c").alias("key"), "node", "c", "label").distinct()
+    by = groups.join(sides, "node").select("key", "node", "c", "label", F.explode(F.concat("l", "r")).alias("h"))
+    size = by.groupBy(F.xxhash64("key", "h").alias("key")).agg(F.count("*").alias("n"), F.max("c").alias("_c"), F.min("label").alias("_a"), F.max("label").alias("_z"))
+    size = size.where("n > 1 and 2 * n <= _c and _a <> _z").select("key", F.col("n").alias("c"))
+    return by.select(F.xxhash64("key", "h").alias("key"), "node").join(size, "key").select("key", "node", "c")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
