@@ -2,19 +2,20 @@
 
 Table keys are pairs: ``m`` hashes from a left collection and ``m`` from a right one, each made of
 three minhashes, give ``m * m`` tables of six minhashes from ``6 m`` instead of ``6 m * m`` minhash
-computations. With m = 14 a pair at similarity 0.8 shares no key with probability
-2 * (1 - 0.8 ** 3) ** 14 < 1e-4, at 0.85 below 4e-6. A key pair can only be shared if both of its
-halves are, so halves that occur once are dropped before pairs are formed, and most documents
-never form any.
+computations. Of the 16 * 16 tables every third is used (left and right number add up to a multiple
+of three): a pair at similarity 0.8 then shares no key with probability below 1e-4, at 0.85 below
+4e-6, as with all tables of 14 * 14, for less than half the rows. A key pair can only be shared if
+both of its halves are, so halves that occur once are dropped before pairs are formed, and most
+documents never form any.
 
 Texts with equal sets are one node (128-bit digest of the set; the smallest id stands for them).
 Candidates are made without listing all pairs of a key: first every node meets the smallest node
 among those it shares keys with, then the smallest node of each of its keys; nodes found linked
 are joined into components. Only keys whose nodes are still in different components are looked at
 again: small ones pair by pair across components, large ones divided, again and again, by those further
-halves that at most half of their nodes share. (A linked pair can then be missed only if every
+left or right halves in turn that at most half of their nodes share. (A linked pair can then be missed only if every
 half it shares is also shared by most of a group of over ``SMALL`` nodes, with none of which it is
-linked in turn.) A candidate is left out if the sizes exclude a link or if fewer than half of its 84
+linked in turn.) A candidate is left out if the sizes exclude a link or if fewer than half of its 96
 minhashes agree (at similarity 0.8 that has probability below 1e-7). Every other candidate is
 confirmed on the full shingle sets: 100 * intersection >= ``percent`` * union.
 
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import components, gram_hashes, hash_words, mix64, rows_of, store, words
 
-SIDE, DEPTH = 14, 3
-SMALL = 24
+SIDE, DEPTH, EVERY = 16, 3, 3
+SMALL = 48
 _LINES = np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64)
 _A, _B = ((mix64(_LINES + np.uint64(i << 32)) >> np.uint64(32)).astype(np.uint32) for i in (0, 1))
 _A |= np.uint32(1)
@@ -59,11 +60,11 @@ def minhashes(s: np.ndarray) -> np.ndarray:
 
 
 def halves(low: np.ndarray) -> np.ndarray:
-    """Left then right keys of ``DEPTH`` minhashes each; the lowest bit tells the side."""
+    """Left then right keys of ``DEPTH`` minhashes each; the lowest five bits hold the number."""
     key = np.arange(2 * SIDE, dtype=np.uint64)
     for column in low.reshape(2 * SIDE, DEPTH).T:
         key = mix64(key * np.uint64(3) + column)
-    return (key & ~np.uint64(1)) | np.repeat(np.array([0, 1], np.uint64), SIDE)
+    return (key & ~np.uint64(31)) | np.arange(2 * SIDE, dtype=np.uint64)
 
 
 _SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -145,11 +146,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = _Links(docs, nodes, shingle, percent)
 
     half = nodes.select("node", F.explode("halves").alias("h"))
-    left = F.col("h").bitwiseAND(F.lit(1)) == 0
+    left = F.col("h").bitwiseAND(F.lit(SIDE)) == 0
     common = half.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     sides = half.join(common, "h", "leftsemi").groupBy("node").agg(F.collect_list(F.when(left, F.col("h"))).alias("l"), F.collect_list(F.when(~left, F.col("h"))).alias("r"))
     sides = store(sides.where((F.size("l") > 0) & (F.size("r") > 0)), "sides")
-    keyed = sides.select("node", F.explode("l").alias("x"), "r").select("node", "x", F.explode("r").alias("y")).select("node", F.xxhash64("x", "y").alias("key"))
+    keyed = sides.select("node", F.explode("l").alias("x"), "r").select("node", "x", F.explode("r").alias("y")).where((F.col("x").bitwiseAND(F.lit(SIDE - 1)) + F.col("y").bitwiseAND(F.lit(SIDE - 1))) % EVERY == 0).select("node", F.xxhash64("x", "y").alias("key"))
     bucket = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1")
     buckets = store(keyed.join(bucket, "key"), "buckets")
 
@@ -167,7 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             break
         edges, labels = _more(links, edges, links.likely(_across(apart.where(F.col("c") <= SMALL)).distinct()), labels)
         wide = _apart(apart.where(F.col("c") > SMALL).select("key", "node", "c"), labels)
-        rows = _divided(wide, sides)
+        rows = _divided(wide, sides, "lr"[level % 2])
 
     found = first.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rows = scanned.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
@@ -205,12 +206,12 @@ def _across(wide: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a > b and la <> lb").select("a", "b")
 
 
-def _divided(wide: DataFrame, sides: DataFrame) -> DataFrame:
-    """Large keys divided by every half that at most half of their nodes share, as far as nodes of
+def _divided(wide: DataFrame, sides: DataFrame, side: str) -> DataFrame:
+    """Large keys divided by every half of a side that at most half of their nodes share, as far as nodes of
     different components share it. Keys with the same nodes are divided once."""
     same = wide.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("_x"), F.min("node").alias("_m"))
     groups = wide.join(same, "key").select(F.xxhash64("_x", "_m", "c").alias("key"), "node", "c", "label").distinct()
-    by = groups.join(sides, "node").select("key", "node", "c", "label", F.explode(F.concat("l", "r")).alias("h"))
+    by = groups.join(sides, "node").select("key", "node", "c", "label", F.explode(side).alias("h"))
     size = by.groupBy(F.xxhash64("key", "h").alias("key")).agg(F.count("*").alias("n"), F.max("c").alias("_c"), F.min("label").alias("_a"), F.max("label").alias("_z"))
     size = size.where("n > 1 and 2 * n <= _c and _a <> _z").select("key", F.col("n").alias("c"))
     return by.select(F.xxhash64("key", "h").alias("key"), "node").join(size, "key").select("key", "node", "c")
