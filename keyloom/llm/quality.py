@@ -19,6 +19,7 @@ trait without evidence never rejects. Repeated rows are scored each. An empty ta
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,11 +111,19 @@ class _Weights(dict):
         return v
 
 
+def _counted(found: pa.Array, rows: list[int], only: dict | None) -> Counter:
+    """Texts that hold each marker; the words of one text at a time are Python strings."""
+    seen: Counter = Counter()
+    for i in rows:
+        seen.update({m for w in found[i].as_py() for m in marks(w) if only is None or m in only})
+    return seen
+
+
 class Model:
     """Fitted on labelled texts: logistic weights over the shape for quality; words that mark
     toxicity, and logistic weights over their sum, maximum and number."""
 
-    def __init__(self, shapes: np.ndarray, found: list[list[str]], quality: np.ndarray, toxic: np.ndarray):
+    def __init__(self, shapes: np.ndarray, found: pa.Array, quality: np.ndarray, toxic: np.ndarray):
         self.quality = self.toxic = None
         self.table: dict[str, float] = {}
         self.base = {}
@@ -127,22 +136,20 @@ class Model:
             for side in (0, 1):
                 table = self._markers(found, toxic, np.flatnonzero(t & (fold == side)))
                 other = np.flatnonzero(t & (fold != side))
-                xs.append(np.array([self._sums([max((table.get(m, 0.0) for m in marks(w)), default=0.0) for w in found[i]]) for i in other]))
+                xs.append(np.array([self._sums([max((table.get(m, 0.0) for m in marks(w)), default=0.0) for w in found[i].as_py()]) for i in other]))
                 ys.append(toxic[other])
             self.toxic, self.base["toxic"] = logistic(np.concatenate([np.ones((sum(map(len, ys)), 1)), np.concatenate(xs)], 1), np.concatenate(ys)), float(toxic[t].mean())
             self.table = self._markers(found, toxic, np.flatnonzero(t))
 
     @staticmethod
-    def _markers(found: list[list[str]], toxic: np.ndarray, rows: np.ndarray) -> dict[str, float]:
-        from collections import Counter
-
-        seen: tuple = (Counter(), Counter())
-        for i in rows:
-            seen[int(toxic[i])].update({m for w in found[i] for m in marks(w)})
-        n1 = max(1, int(toxic[rows].sum()))
-        n0 = max(1, len(rows) - n1)
+    def _markers(found: pa.Array, toxic: np.ndarray, rows: np.ndarray) -> dict[str, float]:
+        bad = [i for i in rows if toxic[i]]
+        seen = _counted(found, bad, None)
+        seen = {m: c for m, c in seen.items() if c >= SUPPORT}
+        other = _counted(found, [i for i in rows if not toxic[i]], seen)
+        n1, n0 = max(1, len(bad)), max(1, len(rows) - len(bad))
         rate = lambda c, n: (c + 0.1) / (n + 0.2)
-        odds = {m: float(np.log(rate(c, n1) / rate(seen[0][m], n0))) for m, c in seen[1].items() if c >= SUPPORT}
+        odds = {m: float(np.log(rate(c, n1) / rate(other.get(m, 0), n0))) for m, c in seen.items()}
         strong = sorted(((v, m) for m, v in odds.items() if v > 2.5), reverse=True)[:MARKERS]
         return {m: v for v, m in strong}
 
@@ -174,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = rows_of(docs.select("doc_id", "text"), chosen, "doc_id").mapInArrow(_features, "quality double, toxic double, shape array<double>, words array<string>").toArrow()
     shapes = np.array(rows.column("shape").to_pylist(), float).reshape(-1, len(NAMES))
     num = lambda c: np.array([np.nan if v is None else float(v > 0) for v in rows.column(c).to_pylist()], float)
-    return Model(shapes, rows.column("words").to_pylist(), num("quality"), num("toxic"))
+    return Model(shapes, rows.column("words").combine_chunks(), num("quality"), num("toxic"))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
