@@ -13,7 +13,7 @@ __all__ = ["components", "global_rank", "hash_words", "mix64", "remove", "rows_o
 
 #: A word is a run of anything but space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-_CACHED = 300_000
+_CACHED = 100_000
 
 
 def word_count(text: Column) -> Column:
