@@ -67,12 +67,10 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     """Adds the 0-based position in the given order. Range partitions are counted and the counts
     (one row per partition) are summed up; no task sees more than its range. Ties in the order
     must be true repeats."""
-    spark = df.sparkSession
     placed = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     placed = store(placed, name)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
-    del spark
     return placed.join(base, "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
