@@ -81,9 +81,12 @@ def rows_of(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """docs joined with wanted by key. A bitmap of at most 128 KiB of the wanted keys first drops
     most other rows of docs, so that their texts are not shuffled; the join alone decides."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
-    bits = np.zeros(SIEVE_BITS, bool)
-    bits[wanted.select(bucket(key).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True  # at most SIEVE_BITS rows
-    packed = np.packbits(bits, bitorder="little")
+    bit = wanted.select(bucket(key).cast("int").alias("b"))
+    longs = bit.groupBy(F.expr("b >> 6").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
+    packed = np.zeros(SIEVE_BITS >> 6, np.int64)
+    for at, bits in longs.where("at is not null").collect():  # at most SIEVE_BITS / 64 rows
+        packed[at] = bits
+    packed = packed.view(np.uint8)
 
     def sieve(batches):
         import pyarrow as pa
