@@ -12,11 +12,11 @@ Texts with equal sets are one node (128-bit digest of the set; the smallest id s
 Candidates are made without listing all pairs of a key: first every node meets the smallest node
 among those it shares keys with, then the smallest node of each of its keys; nodes found linked
 are joined into components. Only keys whose nodes are still in different components are looked at
-again: small ones pair by pair across components, large ones divided, again and again, by those further
+again: small ones pair by pair across components (at most ``SMALL`` nodes at once), large ones divided, again and again, by those further
 left or right halves in turn that at most half of their nodes share. (A linked pair can then be missed only if every
 half it shares is also shared by most of a group of over ``SMALL`` nodes, with none of which it is
-linked in turn.) A candidate is left out if the sizes exclude a link or if fewer than half of its 96
-minhashes agree (at similarity 0.8 that has probability below 1e-7). Every other candidate is
+linked in turn.) A candidate is left out if the sizes exclude a link or if fewer than ``AGREE`` of its
+96 minhashes agree (at similarity 0.8 that has probability below 1e-7). Every other candidate is
 confirmed on the full shingle sets: 100 * intersection >= ``percent`` * union.
 
 Nulls: a null text has no shingles and links with nothing; a row with a null doc_id links with
@@ -27,6 +27,7 @@ count as linked by their id. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import components, gram_hashes, hash_words, mix64, rows_of, store, words
 
 SIDE, DEPTH, EVERY = 16, 3, 3
-SMALL = 48
+SMALL, AGREE = 48, 54
 _LINES = np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64)
 _A, _B = ((mix64(_LINES + np.uint64(i << 32)) >> np.uint64(32)).astype(np.uint32) for i in (0, 1))
 _A |= np.uint32(1)
@@ -94,13 +95,33 @@ def _sets(k: int):
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of which at least half the sketch agrees."""
+    """Pairs of which enough of the sketch agrees."""
     for batch in batches:
         side = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, len(_A)) for c in ("sa", "sb")]
-        good = (side[0] == side[1]).sum(1) * 2 >= len(_A)
+        good = (side[0] == side[1]).sum(1) >= AGREE
         yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good)) for c in ("a", "b")})
 
 
+def _within(percent: int):
+    """Likely pairs (a > b) of different components among the nodes of each key; at most SMALL nodes each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column("g")
+            v = g.values
+            node, label, n = (v.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n"))
+            sketch = np.frombuffer(b"".join(v.field("sketch").to_pylist()), np.uint16).reshape(-1, len(_A))
+            at, found = g.offsets.to_numpy(), [np.empty((2, 0), np.int64)]
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                own, of, size = node[lo:hi, None], label[lo:hi, None], n[lo:hi, None]
+                a, b = np.nonzero((own > own.T) & (of != of.T) & (100 * np.minimum(size, size.T) >= percent * np.maximum(size, size.T)))
+                good = (sketch[lo:hi][a] == sketch[lo:hi][b]).sum(1) >= AGREE
+                found.append(np.stack([node[lo:hi][a[good]], node[lo:hi][b[good]]]))
+            yield pa.RecordBatch.from_pydict(dict(zip("ab", np.concatenate(found, axis=1), strict=True)))
+
+    return work
+
+
 def _confirmed(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,6 +142,7 @@ class _Links:
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int):
         self.texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
         self.nodes, self.k, self.percent = nodes, k, percent
+        self.tried: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Candidates that sizes and sketches allow."""
@@ -129,8 +151,15 @@ class _Links:
         both = both.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         return both.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a bigint, b bigint")
 
+    def within(self, rows: DataFrame) -> DataFrame:
+        """Likely pairs across the components of each small key."""
+        full = rows.join(self.nodes.select("node", "n", "sketch"), "node").groupBy("key").agg(F.collect_list(F.struct("node", "label", "n", "sketch")).alias("g"))
+        return full.select("g").mapInArrow(_within(self.percent), "a bigint, b bigint").distinct()
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        pairs = store(pairs, "candidates")
+        """Those of the pairs that are links, without pairs looked at before."""
+        pairs = store(pairs.join(self.tried, ["a", "b"], "leftanti") if self.tried else pairs, "candidates")
+        self.tried = self.tried.union(pairs) if self.tried else pairs
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = store(rows_of(self.texts, wanted, "node").mapInArrow(_sets(self.k), "node bigint, s binary"), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -160,15 +189,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # every node with the smallest likely partner, then with the other smallest nodes of its keys
     likely = store(links.likely(stars(buckets).distinct()), "likely")
     edges = links.confirm(likely.groupBy("a").agg(F.min("b").alias("b")))
-    edges, labels = _more(links, edges, likely, components(edges))
+    labels = components(edges)
+    apart = _label(_label(likely, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+    edges, labels = _more(links, edges, apart, labels)
     rows = buckets.select("key", "node", "c")
-    for level in range(16):  # a divided key has at most half the nodes
-        apart = store(_apart(rows, labels), f"apart{level}")
-        if apart.isEmpty():
+    small, wide = _apart(rows.where(F.col("c") <= SMALL), labels), rows.where(F.col("c") > SMALL)
+    for level in count():  # a divided key has at most half the nodes
+        edges, labels = _more(links, edges, links.within(small), labels)
+        wide = store(_apart(wide, labels), f"wide{level}")
+        if wide.isEmpty():
             break
-        edges, labels = _more(links, edges, links.likely(_across(apart.where(F.col("c") <= SMALL)).distinct()), labels)
-        wide = _apart(apart.where(F.col("c") > SMALL).select("key", "node", "c"), labels)
-        rows = _divided(wide, sides, "lr"[level % 2])
+        rows = store(_divided(wide, sides, "lr"[level % 2]), f"divided{level}")
+        small, wide = rows.where(F.col("c") <= SMALL), rows.where(F.col("c") > SMALL).drop("label")
 
     found = first.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rows = scanned.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
@@ -183,9 +215,8 @@ def _label(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
 
 
 def _more(links: _Links, edges: DataFrame, pairs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges with those of the pairs that lie in different components, and the components then."""
-    apart = _label(_label(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    new = links.confirm(apart)
+    """Edges with those of the pairs (of different components) that are confirmed, and the components then."""
+    new = links.confirm(pairs)
     if new.isEmpty():
         return edges, labels
     edges = store(edges.union(new), "edges")
@@ -199,22 +230,14 @@ def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed, "key", "leftsemi").select("key", "node", "c", "label")
 
 
-def _across(wide: DataFrame) -> DataFrame:
-    """Pairs (a > b) of a key's nodes that lie in different components."""
-    a = wide.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    b = wide.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    return a.join(b, "key").where("a > b and la <> lb").select("a", "b")
-
-
 def _divided(wide: DataFrame, sides: DataFrame, side: str) -> DataFrame:
     """Large keys divided by every half of a side that at most half of their nodes share, as far as nodes of
-    different components share it. Keys with the same nodes are divided once."""
-    same = wide.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("_x"), F.min("node").alias("_m"))
-    groups = wide.join(same, "key").select(F.xxhash64("_x", "_m", "c").alias("key"), "node", "c", "label").distinct()
-    by = groups.join(sides, "node").select("key", "node", "c", "label", F.explode(side).alias("h"))
-    size = by.groupBy(F.xxhash64("key", "h").alias("key")).agg(F.count("*").alias("n"), F.max("c").alias("_c"), F.min("label").alias("_a"), F.max("label").alias("_z"))
-    size = size.where("n > 1 and 2 * n <= _c and _a <> _z").select("key", F.col("n").alias("c"))
-    return by.select(F.xxhash64("key", "h").alias("key"), "node").join(size, "key").select("key", "node", "c")
+    different components share it; rows as of _apart. Of keys with the same nodes one is made."""
+    by = wide.join(sides, "node").select("key", "node", "c", "label", F.explode(side).alias("h"))
+    by = by.select(F.xxhash64("key", "h").alias("key"), "node", F.col("c").alias("_c"), "label")
+    size = by.groupBy("key").agg(F.min("node").alias("_m"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.max("_c").alias("_c"), F.min("label").alias("_a"), F.max("label").alias("_z"))
+    size = size.where("c > 1 and 2 * c <= _c and _a <> _z").groupBy("_m", "c", "_x").agg(F.min("key").alias("key"))
+    return by.drop("_c").join(size.select("key", "c"), "key").select("key", "node", "c", "label")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
