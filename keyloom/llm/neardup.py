@@ -188,14 +188,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # every node with the smallest likely partner, then with the other smallest nodes of its keys
     likely = store(links.likely(stars(buckets).distinct()), "likely")
-    edges = links.confirm(likely.groupBy("a").agg(F.min("b").alias("b")))
-    labels = components(edges)
-    apart = _label(_label(likely, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    edges, labels = _more(links, edges, apart, labels)
+    labels = components(links.confirm(likely.groupBy("a").agg(F.min("b").alias("b"))))
+    labels = _more(links, _ends(likely, labels).where("la <> lb").select("a", "b"), labels)
     rows = buckets.select("key", "node", "c")
     small, wide = _apart(rows.where(F.col("c") <= SMALL), labels), rows.where(F.col("c") > SMALL)
     for level in count():  # a divided key has at most half the nodes
-        edges, labels = _more(links, edges, links.within(small), labels)
+        labels = _more(links, links.within(small), labels)
         wide = store(_apart(wide, labels), f"wide{level}")
         if wide.isEmpty():
             break
@@ -214,13 +212,20 @@ def _label(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
     return df.join(got, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _more(links: _Links, edges: DataFrame, pairs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges with those of the pairs (of different components) that are confirmed, and the components then."""
+def _ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    return _label(_label(pairs, labels, "a", "la"), labels, "b", "lb")
+
+
+def _more(links: _Links, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Components after those of the pairs (of different components) that are confirmed; only the
+    components that these join are worked on."""
     new = links.confirm(pairs)
     if new.isEmpty():
-        return edges, labels
-    edges = store(edges.union(new), "edges")
-    return edges, components(edges)
+        return labels
+    roots = components(_ends(new, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    lone = roots.select("node", F.col("node").alias("component")).join(labels, "node", "leftanti")
+    moved = roots.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return store(labels.union(lone).join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
 
 
 def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
