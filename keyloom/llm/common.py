@@ -7,13 +7,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.sources.shared import remove, scratch_path, shared_dir, store
+from keyloom.sources import shared
+from keyloom.sources.shared import remove, scratch_path, shared_dir
 
 __all__ = ["components", "global_rank", "hash_words", "mix64", "remove", "rows_of", "scratch_path", "shared_dir", "store", "word_count", "words"]
 
 #: A word is a run of anything but space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _CACHED = 100_000
+#: Size of the Arrow batches between the JVM and a Python worker: each side holds a few at a time.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """A table in the shared folder, read back; written with small Arrow batches, so that whole texts
+    take little memory beside the JVM. The session's own settings hold again afterwards."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _BATCHES}
+    try:
+        for k, v in _BATCHES.items():
+            conf.set(k, v)
+        return shared.store(df, name, path)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                conf.unset(k)
+            else:
+                conf.set(k, v)
 
 
 def word_count(text: Column) -> Column:
