@@ -12,12 +12,14 @@ Texts with equal sets are one node (128-bit digest of the set; the smallest id s
 Candidates are made without listing all pairs of a key: first every node meets the smallest node
 among those it shares keys with, then the smallest node of each of its keys; nodes found linked
 are joined into components. Only keys whose nodes are still in different components are looked at
-again: small ones pair by pair across components (at most ``SMALL`` nodes at once), large ones divided, again and again, by those further
-left or right halves in turn that at most half of their nodes share. (A linked pair can then be missed only if every
-half it shares is also shared by most of a group of over ``SMALL`` nodes, with none of which it is
-linked in turn.) A candidate is left out if the sizes exclude a link or if fewer than ``AGREE`` of its
-96 minhashes agree (at similarity 0.8 that has probability below 1e-7). Every other candidate is
-confirmed on the full shingle sets: 100 * intersection >= ``percent`` * union.
+again, pair by pair across components: small ones (at most ``SMALL`` nodes) at once, large ones in
+blocks of about ``BLOCK`` nodes outside the key's largest component against ``BLOCK`` of all its
+nodes. Of a large key the likeliest pair of two components is confirmed first, then the ``FEW``
+likeliest, then every pair that is left. A candidate is left out if the sizes exclude a link, if
+fewer than ``AGREE`` of its 96 minhashes agree (at similarity 0.8 that has probability below 1e-7)
+or, in large keys, if the parities of the two sets in ``BITS`` classes differ in more classes than
+a link leaves differing shingles (no link is lost by that). Every other candidate is confirmed on
+the full shingle sets: 100 * intersection >= ``percent`` * union.
 
 Nulls: a null text has no shingles and links with nothing; a row with a null doc_id links with
 nothing and has null component and kept. Rows that share an id are one node per different set and
@@ -27,18 +29,18 @@ count as linked by their id. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import components, gram_hashes, hash_words, mix64, rows_of, store, words
 
 SIDE, DEPTH, EVERY = 16, 3, 3
 SMALL, AGREE = 48, 54
+BLOCK, BITS, FEW = 512, 2048, 64
 _LINES = np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64)
 _A, _B = ((mix64(_LINES + np.uint64(i << 32)) >> np.uint64(32)).astype(np.uint32) for i in (0, 1))
 _A |= np.uint32(1)
@@ -68,7 +70,14 @@ def halves(low: np.ndarray) -> np.ndarray:
     return (key & ~np.uint64(31)) | np.arange(2 * SIDE, dtype=np.uint64)
 
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64())), ("sketch", pa.binary())])
+def parity(s: np.ndarray) -> bytes:
+    """Of each of ``BITS`` classes of shingles, whether the set holds an odd number: two sets differ
+    in at least as many shingles as their parities in bits."""
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+_SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64())), ("sketch", pa.binary()), ("parity", pa.binary())])
 
 
 def _scan(k: int):
@@ -79,7 +88,7 @@ def _scan(k: int):
                 s = shingles(words(text.as_py(), lower=True), k)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 low = minhashes(s) if len(s) else None
-                rows.append((doc_id, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), halves(low).view(np.int64) if len(s) else [], (mix64(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) else b""))
+                rows.append((doc_id, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), halves(low).view(np.int64) if len(s) else [], (mix64(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) else b"", parity(s) if len(s) else b""))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCAN)], schema=_SCAN)
 
     return work
@@ -122,6 +131,46 @@ def _within(percent: int):
     return work
 
 
+def _across(percent: int, top: int | None):
+    """Likely pairs (a > b) with the labels of their components, between the nodes outside the
+    largest component (``rest``) and all nodes of each block; ``top`` of each two components."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column("g")
+            v = g.values
+            rest, node, label, n = (v.field(c).to_numpy(zero_copy_only=False) for c in ("rest", "node", "label", "n"))
+            sketch = np.frombuffer(b"".join(v.field("sketch").to_pylist()), np.uint16).reshape(-1, len(_A))
+            bits = np.frombuffer(b"".join(v.field("parity").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            at, found = g.offsets.to_numpy(), [np.empty((5, 0), np.int64)]
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                mine, others = lo + np.flatnonzero(rest[lo:hi]), lo + np.flatnonzero(~rest[lo:hi])
+                block = [np.empty((5, 0), np.int64)]
+                for i in mine:
+                    j = others[label[others] != label[i]]
+                    j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
+                    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+                    near = apart * (100 + percent) <= (100 - percent) * (n[i] + n[j])
+                    j, apart = j[near], apart[near]
+                    good = (sketch[i] == sketch[j]).sum(1) >= AGREE
+                    j, apart = j[good], apart[good]
+                    block.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), np.maximum(label[i], label[j]), np.minimum(label[i], label[j]), apart * 10_000 // (n[i] + n[j])]))
+                found.append(_likeliest(np.concatenate(block, axis=1), top))
+            yield pa.RecordBatch.from_pydict(dict(zip(("a", "b", "la", "lb", "apart"), np.concatenate(found, axis=1), strict=True)))
+
+    return work
+
+
+def _likeliest(pairs: np.ndarray, top: int | None) -> np.ndarray:
+    """Of the columns a, b, la, lb, apart the ``top`` least apart for each two labels."""
+    if top is None or not pairs.shape[1]:
+        return pairs
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0], pairs[4], pairs[3], pairs[2]))]
+    new = np.append(True, (pairs[2:4, 1:] != pairs[2:4, :-1]).any(0))
+    at = np.arange(pairs.shape[1])
+    return pairs[:, at - np.maximum.accumulate(np.where(new, at, 0)) < top]
+
+
 def _confirmed(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,6 +205,26 @@ class _Links:
         full = rows.join(self.nodes.select("node", "n", "sketch"), "node").groupBy("key").agg(F.collect_list(F.struct("node", "label", "n", "sketch")).alias("g"))
         return full.select("g").mapInArrow(_within(self.percent), "a bigint, b bigint").distinct()
 
+    def across(self, rows: DataFrame, top: int | None) -> DataFrame:
+        """Likely pairs across the components of each large key, at most ``top`` of each two
+        components. The nodes outside the key's largest component are dealt over p chunks, all
+        nodes over q, and p * q blocks compared."""
+        size = rows.groupBy("key", "label").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_m"), F.sum("_n").alias("_all"))
+        chunks = lambda x: F.ceil(x / BLOCK).cast("int")
+        size = size.select("key", F.col("_m.label").alias("_main"), chunks(F.col("_all") - F.col("_m._n")).alias("_p"), chunks(F.col("_all")).alias("_q"))
+        rows = rows.join(size, "key").join(self.nodes.select("node", "n", "sketch", "parity"), "node")
+        rest = F.col("label") != F.col("_main")
+        mine = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+        deal = lambda n, block, of: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct(*block(x), F.lit(of).alias("rest")))
+        all_of = deal("_p", lambda x: (x.alias("p"), mine(1, "_q").alias("q")), False)
+        rest_of = deal("_q", lambda x: (mine(0, "_p").alias("p"), x.alias("q")), True)
+        dealt = rows.withColumn("_d", F.explode(F.when(rest, F.concat(all_of, rest_of)).otherwise(all_of)))
+        full = dealt.groupBy("key", "_d.p", "_d.q").agg(F.collect_list(F.struct("_d.rest", "node", "label", "n", "sketch", "parity")).alias("g"))
+        found = full.select("g").mapInArrow(_across(self.percent, top), "a bigint, b bigint, la bigint, lb bigint, apart bigint").distinct()
+        if top is not None:
+            found = found.withColumn("_r", F.row_number().over(Window.partitionBy("la", "lb").orderBy("apart", "a", "b"))).where(F.col("_r") <= top)
+        return found.select("a", "b")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are links, without pairs looked at before."""
         pairs = store(pairs.join(self.tried, ["a", "b"], "leftanti") if self.tried else pairs, "candidates")
@@ -168,10 +237,10 @@ class _Links:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept."""
-    scanned = store(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(shingle), "doc_id bigint, n bigint, d1 bigint, d2 bigint, halves array<bigint>, sketch binary"), "sketches")
+    scanned = store(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(shingle), "doc_id bigint, n bigint, d1 bigint, d2 bigint, halves array<bigint>, sketch binary, parity binary"), "sketches")
     live = scanned.where("n > 0 and doc_id is not null")
     first = store(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "first")
-    nodes = store(live.join(first, ["d1", "d2"]).where("doc_id = node").select("node", "n", "halves", "sketch").dropDuplicates(["node", "n"]), "nodes")
+    nodes = store(live.join(first, ["d1", "d2"]).where("doc_id = node").select("node", "n", "halves", "sketch", "parity").dropDuplicates(["node", "n"]), "nodes")
     links = _Links(docs, nodes, shingle, percent)
 
     half = nodes.select("node", F.explode("halves").alias("h"))
@@ -192,13 +261,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labels = _more(links, _ends(likely, labels).where("la <> lb").select("a", "b"), labels)
     rows = buckets.select("key", "node", "c")
     small, wide = _apart(rows.where(F.col("c") <= SMALL), labels), rows.where(F.col("c") > SMALL)
-    for level in count():  # a divided key has at most half the nodes
-        labels = _more(links, links.within(small), labels)
-        wide = store(_apart(wide, labels), f"wide{level}")
+    labels = _more(links, links.within(small), labels)
+    for top in (1, FEW, None):  # the last round tries every pair that is left
+        wide = store(_apart(wide, labels).drop("label"), "wide")
         if wide.isEmpty():
             break
-        rows = store(_divided(wide, sides, "lr"[level % 2]), f"divided{level}")
-        small, wide = rows.where(F.col("c") <= SMALL), rows.where(F.col("c") > SMALL).drop("label")
+        labels = _more(links, links.across(_label(wide, labels, "node", "label"), top), labels)
 
     found = first.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rows = scanned.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
@@ -235,16 +303,6 @@ def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed, "key", "leftsemi").select("key", "node", "c", "label")
 
 
-def _divided(wide: DataFrame, sides: DataFrame, side: str) -> DataFrame:
-    """Large keys divided by every half of a side that at most half of their nodes share, as far as nodes of
-    different components share it; rows as of _apart. Of keys with the same nodes one is made."""
-    by = wide.join(sides, "node").select("key", "node", "c", "label", F.explode(side).alias("h"))
-    by = by.select(F.xxhash64("key", "h").alias("key"), "node", F.col("c").alias("_c"), "label")
-    size = by.groupBy("key").agg(F.min("node").alias("_m"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.max("_c").alias("_c"), F.min("label").alias("_a"), F.max("label").alias("_z"))
-    size = size.where("c > 1 and 2 * c <= _c and _a <> _z").groupBy("_m", "c", "_x").agg(F.min("key").alias("key"))
-    return by.drop("_c").join(size.select("key", "c"), "key").select("key", "node", "c", "label")
-
-
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without the members of near-duplicate groups but the one with the smallest id. Rows
     with a null id stay."""

@@ -87,6 +87,43 @@ def test_large_keys_are_divided(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 4).collect()} == brute_components(texts, 4)
 
 
+def uneven_copies(n=400, heavy=300, words=400):
+    """Copies of one text: the first ones have eight or nine edits and link only to copies with one
+    or two, which are the smallest node of few keys."""
+    rng, texts = np.random.default_rng(4), []
+    for i in range(n):
+        ws = [f"c{j}" for j in range(words)]
+        for j in rng.choice(words, int(rng.integers(8, 10) if i < heavy or rng.random() < 0.5 else rng.integers(1, 3)), replace=False):
+            ws[j] = f"x{i}_{j}"
+        texts.append((i, " ".join(ws)))
+    return texts
+
+
+def test_keys_that_no_half_divides(spark):
+    """Keys well above SMALL whose nodes share most halves: no link across them is missed."""
+    texts = uneven_copies()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"), 5).collect()}
+    assert neardup.SMALL == 48 and got == brute_components(texts, 5)
+
+
+def test_blocks_of_a_large_key(spark, monkeypatch):
+    """Blocks of a few nodes, and links that only the later rounds try."""
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    monkeypatch.setattr(neardup, "FEW", 2)
+    texts = uneven_copies(200, 150)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"), 5).collect()}
+    assert got == brute_components(texts, 5)
+
+
+def test_parity_keeps_links():
+    rng = np.random.default_rng(0)
+    for n, d in ((50, 6), (400, 44), (5000, 555)):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[d // 2 :], rng.integers(0, 1 << 63, d // 2, dtype=np.uint64)])
+        apart = sum((x ^ y).bit_count() for x, y in zip(neardup.parity(a), neardup.parity(b), strict=True))
+        assert apart <= len(np.setxor1d(a, b))
+
+
 # substrings
 
 
