@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -49,3 +51,15 @@ def brute_repeats(rows, span=50):
                 gone.update(range(a, a + span))
         out[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
     return out
+
+
+def uneven_copies(n=400, heavy=300, words=400):
+    """Copies of one text: the first ones have eight or nine edits and link only to copies with one
+    or two, which are the smallest node of few keys."""
+    rng, texts = np.random.default_rng(4), []
+    for i in range(n):
+        ws = [f"c{j}" for j in range(words)]
+        for j in rng.choice(words, int(rng.integers(8, 10) if i < heavy or rng.random() < 0.5 else rng.integers(1, 3)), replace=False):
+            ws[j] = f"x{i}_{j}"
+        texts.append((i, " ".join(ws)))
+    return texts

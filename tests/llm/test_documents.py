@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.llm import mixing, neardup, packing, pitman_yor, quality, queries, substrings
-from llm_help import SF, brute_components, brute_repeats, spec_words
+from llm_help import SF, brute_components, brute_repeats, spec_words, uneven_copies
 from oracle import same_rows
 
 
@@ -87,18 +87,6 @@ def test_large_keys_are_divided(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 4).collect()} == brute_components(texts, 4)
 
 
-def uneven_copies(n=400, heavy=300, words=400):
-    """Copies of one text: the first ones have eight or nine edits and link only to copies with one
-    or two, which are the smallest node of few keys."""
-    rng, texts = np.random.default_rng(4), []
-    for i in range(n):
-        ws = [f"c{j}" for j in range(words)]
-        for j in rng.choice(words, int(rng.integers(8, 10) if i < heavy or rng.random() < 0.5 else rng.integers(1, 3)), replace=False):
-            ws[j] = f"x{i}_{j}"
-        texts.append((i, " ".join(ws)))
-    return texts
-
-
 def test_keys_that_no_half_divides(spark):
     """Keys well above SMALL whose nodes share most halves: no link across them is missed."""
     texts = uneven_copies()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keyloom.llm import ann, topk, urlfilter, warc
-from llm_help import SF
+from llm_help import SF, brute_components, uneven_copies
 
 VEC = "vec_id bigint, embedding array<float>, rank int"
 
@@ -136,6 +136,15 @@ def test_trained_dictionary_helps(spark):
 # pipeline
 
 
+def test_one_of_each_large_group_stays(spark):
+    """Groups well above neardup.SMALL, whose keys no half divides: the ids that stay are those of
+    brute force."""
+    texts = uneven_copies()
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = [r.doc_id for r in corpus_pipeline.one_of_each(spark, df, SF).collect()]
+    assert sorted(got) == sorted(i for i, (_, c) in brute_components(texts, 5).items() if i == c)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     at, seen = docs, [docs.count()]
