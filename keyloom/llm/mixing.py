@@ -96,12 +96,18 @@ def allot(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = 3, doc_id
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = 3) -> DataFrame:
     """The mixed documents, with the columns of docs: each taken whole as often as it was drawn;
-    a part taken is its first words, joined by spaces. Rows that share an id must be alike."""
-    taken = allot(docs, weights, max_repeat).groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
+    a part taken is its first words, joined by spaces. Rows that share id (or have none), source and
+    size get their allotments in the order of their texts."""
+    key = lambda size: [F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_in"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_sn"), size.alias("_size")]
+    same = Window.partitionBy("_i", "_in", "_s", "_sn", "_size")
+    nth = lambda *order: F.row_number().over(same.orderBy(*order)).alias("_nth")
+    on = ["_i", "_in", "_s", "_sn", "_size", "_nth"]
+    taken = allot(docs, weights, max_repeat).select(*key(F.col("size")), F.col("taken").alias("_taken")).select("*", nth(F.col("_taken").desc()))
     whole = F.floor(F.col("_taken") / F.greatest("_size", F.lit(1)))
     part = F.col("_taken") - whole * F.col("_size")
     sizes = F.concat(F.array_repeat(F.col("_size"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = docs.join(taken.where("_taken > 0"), "doc_id").withColumn("_cut", F.explode(sizes))
+    out = docs.select("*", *key(word_count(F.col("text")))).select("*", nth(F.col("text")))
+    out = out.join(taken.where("_taken > 0"), on).withColumn("_cut", F.explode(sizes))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_cut").cast("int")), " ")
     out = out.withColumn("text", F.when(F.col("_cut") == F.col("_size"), F.col("text")).otherwise(first))
     if "n_chars" in docs.columns:

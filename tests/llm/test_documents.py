@@ -50,6 +50,18 @@ def test_mixing_repeats_and_cuts(spark):
     assert got == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_mixing_keeps_null_ids(spark):
+    """Rows without an id, of different and of equal sizes, and rows that share one id are drawn as allotted."""
+    rows = [(None if i % 5 == 0 else 3 if i < 5 else i, " ".join(f"w{i}_{j}" for j in range(10 + i // 2)), "en", "a" if i < 10 else "b", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    taken, got = Counter(), Counter()
+    for r in mixing.allot(df).collect():
+        taken[r.doc_id, r.source] += r.taken
+    for r in mixing.mix(df).collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+    assert taken[None, "a"] > 0 and got == Counter({k: v for k, v in taken.items() if v})
+
+
 # near duplicates
 
 
