@@ -24,7 +24,7 @@ from keyloom.llm.shards import prepare, search
 
 LEAF = 64
 SHARD, BLOCK = 8192, 512
-#: Below this, doubles hold every partial sum exactly and (score, position) fits 64 bits.
+#: Below this, doubles hold every partial sum exactly.
 _SAFE = 1 << 48
 _LONG = (1 << 63) - 1
 
@@ -63,10 +63,12 @@ class Tree:
         """(query row, id, score) of up to k best per query with score >= floor."""
         peak = (max((abs(int(x)) for x in (self.vectors.max(), self.vectors.min())), default=0) * max(abs(int(q.max())), abs(int(q.min()))) * q.shape[1]) if len(q) else 0
         wide = peak >= _SAFE or q.dtype == object or self.vectors.dtype == object
+        span = 1 << max(14, len(self.ids).bit_length())
+        wide = wide or peak >= 1 << 61 - span.bit_length()  # score * span stays above the marker for none
         if wide:
-            self.vectors, self.low, self.high = (x.astype(object) if x.dtype == object else np.vectorize(int, otypes=[object])(x) for x in (self.vectors, self.low, self.high))
+            self.vectors, self.low, self.high = (x if x.dtype == object else np.vectorize(int, otypes=[object])(x) for x in (self.vectors, self.low, self.high))
             q = q if q.dtype == object else np.vectorize(int, otypes=[object])(q)
-        kind, span = (object if wide else np.int64), 1 << 14
+        kind = object if wide else np.int64
         lowest = -(1 << 200) if wide else -(1 << 62)
         best = np.full((len(q), k), lowest, kind)  # score * span + (span - 1 - position): larger is better
         kth = floor.astype(kind)

@@ -52,6 +52,18 @@ def test_wide_numbers():
     assert sorted(zip((-s for s in score), ids, strict=True)) == want
 
 
+def test_trees_of_many_rows():
+    """More rows than 2 ** 14 in one shard, as of one repeated id: positions are decoded right."""
+    v = np.random.default_rng(0).integers(-50, 50, (20_000, 4)).astype(float)
+    v[-1] = 2 * v[0]
+    for scale in (1, 3_000_000):
+        t = topk.Tree(np.arange(len(v)), v * scale)
+        r, ids, score = t.top(np.array([-1]), v[:1] * scale, 5, np.full(1, -(1 << 61), np.int64))
+        want = sorted(((-int(x), i) for i, x in enumerate((v * scale) @ (v[0] * scale))))[:5]
+        assert sorted((-int(x) for x in score)) == [x for x, _ in want]
+        assert all(int((v[i] * scale) @ (v[0] * scale)) == int(x) for i, x in zip(ids, score, strict=True))
+
+
 def test_nearest(spark, odd_vectors):
     rows = [(i, v) for i, v in live(odd_vectors) if np.abs(v).max() > 0]
     got = {}
