@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.sources import shared
 from keyloom.sources.shared import remove, scratch_path, shared_dir
 
-__all__ = ["components", "global_rank", "hash_words", "mix64", "remove", "rows_of", "scratch_path", "shared_dir", "store", "word_count", "words"]
+__all__ = ["components", "dealt", "fresh", "global_rank", "hash_words", "look_up", "mix64", "remove", "rows_of", "scratch_path", "shared_dir", "store", "text_key", "without", "word_count", "words"]
 
 #: A word is a run of anything but space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,14 +73,74 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words, by a polynomial over scrambled word hashes."""
+    """Hash of each run of k words, by a polynomial over scrambled word hashes: runs of 1, 2, 4, ...
+    words are doubled, and those that add up to k joined."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return mix64(out)
+    power = lambda e: np.uint64(pow(0x9E3779B97F4A7C15, e, 1 << 64))
+    out, have, runs, size = np.zeros(len(h) + 1, np.uint64), 0, h, 1
+    while True:
+        if k & size:
+            out = runs[: len(h) - size - have + 1] * power(have) + out[size : len(h) - have + 1]
+            have += size
+        if have == k:
+            return mix64(out)
+        runs, size = runs[: len(runs) - size] * power(size) + runs[size:], 2 * size
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``taken`` bears it in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def text_key(text: str = "text") -> Column:
+    """A number that tells the texts of rows with one id, or with none, apart; of a null text that of ''."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that gone (doc_id, text_key) names. The texts decide with the ids, so rows that
+    share an id, or have none, stand or fall each by its own text."""
+    i, t = fresh(docs.columns, "_id", "_text_key")
+    gone = gone.select(F.col("doc_id").alias(i), F.col("text_key").alias(t)).distinct()
+    same = docs["doc_id"].cast("bigint").eqNullSafe(gone[i]) & (text_key() == gone[t])
+    return docs.join(gone, same, "leftanti")
+
+
+#: Keys with over 1 / SHARE of all rows are looked up by broadcast: there are fewer than SHARE of them.
+SHARE = 1024
+
+
+def look_up(rows: DataFrame, one: DataFrame, key: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with one, which has at most one short row for a key and, in ``count``, the number of rows
+    with that key; the column is dropped. Keys with over 1 / SHARE of all rows are joined by broadcast (fewer
+    than SHARE rows whatever the input), all others by a shuffle in which no key is large."""
+    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = F.col(count) * SHARE > total
+    hot, cold = F.broadcast(one.where(often).drop(count)), one.where(~often).drop(count)
+    found = rows.join(hot, key)
+    return found.unionByName(rows.join(hot.select(*key), key, "leftanti").join(cold, key, how))
+
+
+def dealt(rows: DataFrame, key: list[str], most: int, by: list[str], name: str = "_part") -> tuple[DataFrame, DataFrame]:
+    """rows with the column ``name``, a number below parts(key), such that rows of one key and number are
+    about ``most`` at most; and the keys (key, parts) that have more than one part."""
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_c"))
+    sizes = store(sizes.where(F.col("_c") > most).withColumn("_parts", F.ceil(F.col("_c") / most).cast("int")), "large_keys")
+    many = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int").alias(name)
+    kept = rows.columns
+    if sizes.isEmpty():
+        return rows.select("*", F.lit(0).alias(name)), sizes.drop("_c")
+    large = look_up(rows, sizes, key, "_c")
+    small = rows.join(sizes, key, "leftanti").withColumn("_parts", F.lit(1))
+    return large.unionByName(small).select(*kept, many), sizes.drop("_c")
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -97,25 +157,28 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
 SIEVE_BITS = 1 << 20
 
 
-def rows_of(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def rows_of(docs: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
     """docs joined with wanted by key. A bitmap of at most 128 KiB of the wanted keys first drops
-    most other rows of docs, so that their texts are not shuffled; the join alone decides."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
-    bit = wanted.select(bucket(key).cast("int").alias("b"))
-    longs = bit.groupBy(F.expr("b >> 6").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
+    most other rows of docs, so that their texts are not shuffled; the join alone decides. The bitmap
+    is left out where so many rows are wanted that it would let nearly all pass."""
+    bucket = F.pmod(F.xxhash64(*key), F.lit(SIEVE_BITS)).cast("int")
+    longs = wanted.select(bucket.alias("b")).groupBy(F.expr("b >> 6").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
+    if wanted.count() > 2 * SIEVE_BITS:
+        return docs.join(wanted, key)
     packed = np.zeros(SIEVE_BITS >> 6, np.int64)
-    for at, bits in longs.where("at is not null").collect():  # at most SIEVE_BITS / 64 rows
+    for at, bits in longs.collect():  # at most SIEVE_BITS / 64 rows
         packed[at] = bits
     packed = packed.view(np.uint8)
+    sieve = fresh(docs.columns, "_sieve")[0]
 
-    def sieve(batches):
+    def sift(batches):
         import pyarrow as pa
 
         for batch in batches:
-            b = batch.column("_sieve").fill_null(0).to_numpy()
-            yield batch.filter(pa.array((packed[b >> 3] >> (b & 7) & 1).astype(bool))).drop_columns(["_sieve"])
+            b = batch.column(sieve).to_numpy()
+            yield batch.filter(pa.array((packed[b >> 3] >> (b & 7) & 1).astype(bool))).drop_columns([sieve])
 
-    return docs.withColumn("_sieve", bucket(key)).mapInArrow(sieve, docs.schema).join(wanted, key)
+    return docs.withColumn(sieve, bucket).mapInArrow(sift, docs.schema).join(wanted, key)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -230,7 +230,7 @@ class _Links:
         pairs = store(pairs.join(self.tried, ["a", "b"], "leftanti") if self.tried else pairs, "candidates")
         self.tried = self.tried.union(pairs) if self.tried else pairs
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = store(rows_of(self.texts, wanted, "node").mapInArrow(_sets(self.k), "node bigint, s binary"), "sets")
+        sets = store(rows_of(self.texts, wanted, ["node"]).mapInArrow(_sets(self.k), "node bigint, s binary"), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         return store(both.mapInArrow(_confirmed(self.percent), "a bigint, b bigint"), "links")
 

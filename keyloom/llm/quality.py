@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     good = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     chosen = good.select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = store(chosen, "labelled")
-    rows = rows_of(docs.select("doc_id", "text"), chosen, "doc_id").mapInArrow(_features, "quality double, toxic double, shape array<double>, words array<string>").toArrow()
+    rows = rows_of(docs.select("doc_id", "text"), chosen, ["doc_id"]).mapInArrow(_features, "quality double, toxic double, shape array<double>, words array<string>").toArrow()
     shapes = np.array(rows.column("shape").to_pylist(), float).reshape(-1, len(NAMES))
     num = lambda c: np.array([np.nan if v is None else float(v > 0) for v in rows.column(c).to_pylist()], float)
     return Model(shapes, rows.column("words").combine_chunks(), num("quality"), num("toxic"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.llm import mixing, neardup, packing, pitman_yor, quality, queries, substrings
+from keyloom.llm.common import store
 from llm_help import SF, brute_components, brute_repeats, spec_words, uneven_copies
 from oracle import same_rows
 
@@ -127,14 +128,53 @@ def test_parity_keeps_links():
 # substrings
 
 
-def test_repeats(spark, docs, odd_docs):
+def test_repeats(spark, docs, odd_docs, monkeypatch):
     for df in (docs, odd_docs.where("doc_id is not null")):
-        for group in (4096, 2):
+        for asked, sent in ((4096, 1024), (1, 1)):
+            monkeypatch.setattr(substrings, "ASKED", asked)
+            monkeypatch.setattr(substrings, "SENT", sent)
             want = brute_repeats([(r.doc_id, r.text) for r in df.collect()])
-            got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.find_repeats(df, group=group).collect()}
+            got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.find_repeats(df).collect()}
             assert got == want
 
 
+def test_common_passage_costs_rows_in_proportion(spark, monkeypatch):
+    """A passage in every document: each has a few rows of its own at every step, however many hold it."""
+    passage, rows = " ".join(f"p{i}" for i in range(90)), {}
+
+    def counting(df, name, path=None):
+        out = store(df, name, path)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "store", counting)
+    made = []
+    for n in (500, 2000):
+        texts = [(i, " ".join(f"a{i}_{j}" for j in range(i % 40)) + f" {passage} " + " ".join(f"z{i}_{j}" for j in range(i % 30))) for i in range(n)]
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.find_repeats(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+        assert got == brute_repeats(texts)
+        made.append(dict(rows))
+    assert made[1]["asks"] <= 2000 and made[1]["shared"] <= made[0]["shared"] + 50  # one row a document; windows of the passage only
+    assert all(made[1][k] <= 4.5 * made[0][k] + 50 for k in made[1])
+
+
+def test_alike_compares_words():
+    a = [b"%d" % i for i in range(200)]
+    b = list(a)
+    b[60] = b[120] = b"x"
+    assert substrings.alike(a, b) == [(0, 60), (61, 120), (121, 200)] and substrings.alike(a, a) == [(0, 200)] and substrings.alike(a[:49], a[:49]) == []
+
+
+def test_strip_goes_by_row(spark):
+    """Rows that share an id, or have none, are cut each by its own text; clashing columns stay as they are."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage, 1, "k", 7), (2, "alpha " + passage, 2, "k", 7), (2, "quite another text", 3, None, 7), (None, passage + " omega", 4, "k", 7), (None, "no repeats here", 5, "k", 7), (None, None, None, "k", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, kept string, _ID int")
+    got = sorted(str((str(r.doc_id), r.text, r.n_chars, r.kept)) for r in substrings.strip(df).collect())
+    want = [("1", passage, 1, "k"), ("2", "alpha", 5, "k"), ("2", "quite another text", 3, None), ("None", "omega", 5, "k"), ("None", "no repeats here", 5, "k"), ("None", None, None, "k")]
+    assert got == sorted(map(str, want))
+
+
 def test_repeats_edge_cases(spark, odd_docs):
     rows = {r.doc_id: r for r in substrings.find_repeats(odd_docs, with_text=True).collect()}
     assert rows[9].n_removed == 62 and rows[9].kept == "" and rows[2].spans == [[1, 61]] and rows[2].kept == "gamma"
