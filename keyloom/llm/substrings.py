@@ -181,9 +181,10 @@ def _cut(span: int, with_text: bool):
 
 
 def _first_holders(occ: DataFrame, key: list[str]) -> DataFrame:
-    """Per key: the first (rep, tk, start) that holds it, the size of the block and the number c of rows."""
-    first = occ.groupBy(*key).agg(F.min(F.struct("rep", "tk", "start", "size")).alias("_f"), F.count("*").alias("c"))
-    return first.select(*key, F.col("_f.rep").alias("f"), F.col("_f.tk").alias("ftk"), F.col("_f.start").alias("at"), F.col("_f.size").alias("size"), "c")
+    """Per key: the first document that holds it (id, text key, start, size) and the number c of rows. The
+    columns of one key are taken from one row, as each compares ids alone, in the same order."""
+    first = [F.min_by(c, "rep").alias(as_) for c, as_ in (("tk", "ftk"), ("start", "at"), ("size", "size"))]
+    return occ.groupBy(*key).agg(F.min("rep").alias("f"), *first, F.count("*").alias("c"))
 
 
 def find_repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED, with_text: bool = False) -> DataFrame:
@@ -198,7 +199,9 @@ def find_repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED, with_text:
     first = store(first.select("d1", "d2", F.col("r.id").alias("rep"), F.col("r.tk").alias("rtk"), "c"), "first")
     own = first.select("d1", "d2", F.col("rep").alias("id"), F.col("rtk").alias("tk"))
     mine = scanned.where(F.size("h") > 0).join(own, ["d1", "d2", "id", "tk"], "leftsemi")
-    occ = store(mine.select(F.col("id").alias("rep"), "tk", F.inline(F.arrays_zip("h", "block", "start", "size"))), "blocks")
+    occ = store(mine.select(F.col("id").alias("rep"), "tk", F.inline(F.arrays_zip("h", "block", "start", "size"))), "anchors")
+    shared = occ.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("_a"), F.max("rep").alias("_z")).where("_a < _z").select("h", "c")
+    occ = store(look_up(occ, store(shared, "shared_anchors"), ["h"], "c"), "blocks")
 
     # 1. equal blocks
     holders = store(_first_holders(occ, ["h", "block"]), "holders")
