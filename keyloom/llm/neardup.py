@@ -14,16 +14,18 @@ among those it shares keys with, then the smallest node of each of its keys; nod
 are joined into components. Only keys whose nodes are still in different components are looked at
 again, pair by pair across components: small ones (at most ``SMALL`` nodes) at once, large ones in
 blocks of about ``BLOCK`` nodes outside the key's largest component against ``BLOCK`` of all its
-nodes. Of a large key the likeliest pair of two components is confirmed first, then the ``FEW``
-likeliest, then every pair that is left. A candidate is left out if the sizes exclude a link, if
+nodes. Large keys are read once: of each two components the ``FEW`` likeliest pairs are listed, the
+likeliest confirmed first, then the others; only where two components had more than ``FEW`` likely
+pairs and are still apart, large keys are read again for every pair. A candidate is left out if the sizes exclude a link, if
 fewer than ``AGREE`` of its 96 minhashes agree (at similarity 0.8 that has probability below 1e-7)
 or, in large keys, if the parities of the two sets in ``BITS`` classes differ in more classes than
 a link leaves differing shingles (no link is lost by that). Every other candidate is confirmed on
 the full shingle sets: 100 * intersection >= ``percent`` * union.
 
 Nulls: a null text has no shingles and links with nothing; a row with a null doc_id links with
-nothing and has null component and kept. Rows that share an id are one node per different set and
-count as linked by their id. An empty table gives an empty result.
+nothing and has null component and kept. Rows that share an id are told apart by their text: sharing
+an id is no link, and each is kept or goes by its own text. Rows repeated with id and text count as
+one document. An empty table gives an empty result. Columns of any name may be there.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, gram_hashes, hash_words, mix64, rows_of, store, words
+from keyloom.llm.common import components, global_rank, gram_hashes, hash_words, look_up, mix64, rows_of, store, text_key, without, words
 
 SIDE, DEPTH, EVERY = 16, 3, 3
 SMALL, AGREE = 48, 54
@@ -77,18 +79,18 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64())), ("sketch", pa.binary()), ("parity", pa.binary())])
+_SCAN = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64())), ("sketch", pa.binary()), ("parity", pa.binary())])
 
 
 def _scan(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, tk in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 s = shingles(words(text.as_py(), lower=True), k)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 low = minhashes(s) if len(s) else None
-                rows.append((doc_id, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), halves(low).view(np.int64) if len(s) else [], (mix64(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) else b"", parity(s) if len(s) else b""))
+                rows.append((doc_id, tk, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), halves(low).view(np.int64) if len(s) else [], (mix64(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) else b"", parity(s) if len(s) else b""))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCAN)], schema=_SCAN)
 
     return work
@@ -186,11 +188,13 @@ def _confirmed(percent: int):
 
 
 class _Links:
-    """Confirms candidate pairs (a > b) of nodes."""
+    """Confirms candidate pairs (a > b) of nodes; the shingle sets of nodes that share a key are made once."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int):
-        self.texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
-        self.nodes, self.k, self.percent = nodes, k, percent
+    def __init__(self, texts: DataFrame, nodes: DataFrame, sharing: DataFrame, k: int, percent: int):
+        self.nodes, self.percent = nodes, percent
+        wanted = nodes.select("node", "id", "tk").join(sharing, "node", "leftsemi")
+        sets = rows_of(texts, wanted, ["id", "tk"]).dropDuplicates(["id", "tk"]).mapInArrow(_sets(k), "node bigint, s binary")
+        self.sets = store(sets, "sets")
         self.tried: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -206,8 +210,8 @@ class _Links:
         return full.select("g").mapInArrow(_within(self.percent), "a bigint, b bigint").distinct()
 
     def across(self, rows: DataFrame, top: int | None) -> DataFrame:
-        """Likely pairs across the components of each large key, at most ``top`` of each two
-        components. The nodes outside the key's largest component are dealt over p chunks, all
+        """Likely pairs (a, b, la, lb, r) across the components of each large key, at most ``top`` of each two
+        components, r counting them from the likeliest. The nodes outside the key's largest component are dealt over p chunks, all
         nodes over q, and p * q blocks compared."""
         size = rows.groupBy("key", "label").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_m"), F.sum("_n").alias("_all"))
         chunks = lambda x: F.ceil(x / BLOCK).cast("int")
@@ -221,27 +225,40 @@ class _Links:
         dealt = rows.withColumn("_d", F.explode(F.when(rest, F.concat(all_of, rest_of)).otherwise(all_of)))
         full = dealt.groupBy("key", "_d.p", "_d.q").agg(F.collect_list(F.struct("_d.rest", "node", "label", "n", "sketch", "parity")).alias("g"))
         found = full.select("g").mapInArrow(_across(self.percent, top), "a bigint, b bigint, la bigint, lb bigint, apart bigint").distinct()
-        if top is not None:
-            found = found.withColumn("_r", F.row_number().over(Window.partitionBy("la", "lb").orderBy("apart", "a", "b"))).where(F.col("_r") <= top)
-        return found.select("a", "b")
+        if top is None:
+            return found.select("a", "b", "la", "lb", F.lit(1).alias("r"))
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("la", "lb").orderBy("apart", "a", "b")))
+        return found.where(F.col("r") <= top).select("a", "b", "la", "lb", "r")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are links, without pairs looked at before."""
+        pairs = pairs.select("a", "b")
         pairs = store(pairs.join(self.tried, ["a", "b"], "leftanti") if self.tried else pairs, "candidates")
         self.tried = self.tried.union(pairs) if self.tried else pairs
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = store(rows_of(self.texts, wanted, ["node"]).mapInArrow(_sets(self.k), "node bigint, s binary"), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        set_of = lambda c: self.sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
+        both = pairs.join(set_of("a"), "a").join(set_of("b"), "b")
         return store(both.mapInArrow(_confirmed(self.percent), "a bigint, b bigint"), "links")
 
 
+def _first(live: DataFrame) -> DataFrame:
+    """(d1, d2, id, tk, c, node): of each different set the first row that holds it, the number of rows and
+    a number for it, in the order of ids. That is the id itself unless two sets share their smallest id."""
+    first = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min_by("tk", "doc_id").alias("tk"), F.count("*").alias("c"))
+    first = store(first, "first")
+    if first.groupBy("id").count().where("count > 1").isEmpty():
+        return first.withColumn("node", F.col("id"))
+    return store(global_rank(first, [F.col("id"), F.col("d1"), F.col("d2")], "rank"), "ranked").withColumn("node", F.col("rank"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept."""
-    scanned = store(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(shingle), "doc_id bigint, n bigint, d1 bigint, d2 bigint, halves array<bigint>, sketch binary, parity binary"), "sketches")
-    live = scanned.where("n > 0 and doc_id is not null")
-    first = store(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "first")
-    nodes = store(live.join(first, ["d1", "d2"]).where("doc_id = node").select("node", "n", "halves", "sketch", "parity").dropDuplicates(["node", "n"]), "nodes")
-    links = _Links(docs, nodes, shingle, percent)
+    """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id is the
+    component_id), text_key, chief (of the first text of its group: one text of each group is)."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", text_key().alias("tk"))
+    scanned = store(texts.mapInArrow(_scan(shingle), "doc_id bigint, tk bigint, n bigint, d1 bigint, d2 bigint, halves array<bigint>, sketch binary, parity binary"), "sketches")
+    first = _first(scanned.where("n > 0 and doc_id is not null").select("doc_id", "tk", "d1", "d2"))
+    own = first.select("d1", "d2", F.col("id").alias("doc_id"), "tk", "node")
+    nodes = scanned.join(own, ["d1", "d2", "doc_id", "tk"]).dropDuplicates(["d1", "d2", "doc_id", "tk"])
+    nodes = store(nodes.select("node", F.col("doc_id").alias("id"), "tk", "n", "halves", "sketch", "parity"), "nodes")
 
     half = nodes.select("node", F.explode("halves").alias("h"))
     left = F.col("h").bitwiseAND(F.lit(SIDE)) == 0
@@ -252,27 +269,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     bucket = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1")
     buckets = store(keyed.join(bucket, "key"), "buckets")
 
+    links = _Links(texts, nodes, buckets.select("node").distinct(), shingle, percent)
+
     def stars(df: DataFrame) -> DataFrame:
         return df.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
 
     # every node with the smallest likely partner, then with the other smallest nodes of its keys
     likely = store(links.likely(stars(buckets).distinct()), "likely")
     labels = components(links.confirm(likely.groupBy("a").agg(F.min("b").alias("b"))))
-    labels = _more(links, _ends(likely, labels).where("la <> lb").select("a", "b"), labels)
+    labels = _more(links, _still(_ends(likely, labels)), labels)
     rows = buckets.select("key", "node", "c")
-    small, wide = _apart(rows.where(F.col("c") <= SMALL), labels), rows.where(F.col("c") > SMALL)
-    labels = _more(links, links.within(small), labels)
-    for top in (1, FEW, None):  # the last round tries every pair that is left
-        wide = store(_apart(wide, labels).drop("label"), "wide")
-        if wide.isEmpty():
-            break
-        labels = _more(links, links.across(_label(wide, labels, "node", "label"), top), labels)
-
-    found = first.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    rows = scanned.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
+    labels = _more(links, links.within(_apart(rows.where(F.col("c") <= SMALL), labels)), labels)
+    wide = store(_apart(rows.where(F.col("c") > SMALL), labels), "wide")
+    if not wide.isEmpty():
+        found = store(links.across(wide, FEW), "likely")
+        labels = _more(links, found.where("r = 1"), labels)
+        labels = _more(links, _still(_ends(found.where("r > 1"), labels)), labels)
+        if not _still(_ends(found.where(F.col("r") == FEW), labels)).isEmpty():  # some likely pairs were not listed
+            labels = _more(links, links.across(_apart(wide.drop("label"), labels), None), labels)
+
+    found = first.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    found = found.select("d1", "d2", "c", F.col("id").alias("_id"), F.col("tk").alias("_tk"), (F.col("node") == F.col("root")).alias("_chief"), "root")
+    if "rank" in first.columns:  # the root's number stands for its id
+        sizes = found.groupBy("root").agg(F.count("*").alias("_c"))
+        found = look_up(found, store(sizes.join(first.select(F.col("node").alias("root"), F.col("id").alias("component")), "root"), "roots"), ["root"], "_c").drop("root")
+    else:
+        found = found.withColumnRenamed("root", "component")
+    rows = scanned.select("doc_id", "tk", "n", "d1", "d2")
     lone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    component = F.when(lone, F.col("doc_id")).otherwise(F.col("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    alone = rows.where(lone).select("doc_id", "tk", "n", F.col("doc_id").alias("component"), F.lit(True).alias("chief"))
+    chief = F.col("_chief") & (F.col("doc_id") == F.col("_id")) & (F.col("tk") == F.col("_tk"))
+    others = look_up(rows.where(~lone), store(found, "found"), ["d1", "d2"], "c").select("doc_id", "tk", "n", "component", chief.alias("chief"))
+    kept = F.col("component") == F.col("doc_id")
+    return others.union(alone.select(*others.columns)).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"), F.col("tk").alias("text_key"), "chief")
+
+
+def _still(ends: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    return ends.where("la <> lb").select("a", "b")
 
 
 def _label(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -281,7 +315,7 @@ def _label(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
 
 
 def _ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    return _label(_label(pairs, labels, "a", "la"), labels, "b", "lb")
+    return _label(_label(pairs.select("a", "b"), labels, "a", "la"), labels, "b", "lb")
 
 
 def _more(links: _Links, pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -304,7 +338,6 @@ def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the members of near-duplicate groups but the one with the smallest id. Rows
-    with a null id stay."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "leftanti").select(docs.columns)
+    """docs without the members of near-duplicate groups but the first text of the smallest id. Rows with
+    a null id or without words stay."""
+    return without(docs, near_duplicates(docs, shingle, percent).where("not chief").select("doc_id", "text_key"))

@@ -18,7 +18,7 @@ def op1_mixing(s, d):
 
 
 def op2_near_duplicates(s, d):
-    return neardup.near_duplicates(_t(s, d, "documents"), shingle=4, percent=80)
+    return neardup.near_duplicates(_t(s, d, "documents"), shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_quality(s, d):

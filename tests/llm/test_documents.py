@@ -85,6 +85,17 @@ def test_components_edge_cases(spark, odd_docs):
     assert sorted(str(r.doc_id) for r in neardup.keep_first(odd_docs).collect()).count("9") == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Texts decide: an id shared is no link, and a row goes for its own text only."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "k"), (2, a + " x", "k"), (2, b, "k"), (5, b + " y", "k"), (5, "five words of its own", None), (7, a + " z", "k"), (7, a + " z", "k"), (None, a, "k"), (9, None, "k"), (9, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _id string")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept, r.chief) for r in neardup.near_duplicates(df).collect()}
+    assert got == {(1, 36, 1, True, True), (2, 37, 1, False, False), (2, 36, 2, True, True), (5, 37, 2, False, False), (5, 1, 5, True, True), (7, 37, 1, False, False), (None, 36, None, None, True), (9, 0, 9, True, True)}
+    kept = sorted(map(str, neardup.keep_first(df).collect()))
+    assert kept == sorted(map(str, (r for r in df.collect() if r.text in (a, b, None, "", "five words of its own"))))
+
+
 def test_large_keys_are_divided(spark, monkeypatch):
     """Many texts around one core, so that keys are larger than SMALL and hold several components."""
     monkeypatch.setattr(neardup, "SMALL", 3)
