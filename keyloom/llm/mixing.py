@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, global_rank, store, word_count
+from keyloom.llm.common import WORD, fresh, global_rank, store, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -98,21 +98,23 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = 3) -> DataF
     """The mixed documents, with the columns of docs: each taken whole as often as it was drawn;
     a part taken is its first words, joined by spaces. Rows that share id (or have none), source and
     size get their allotments in the order of their texts."""
-    key = lambda size: [F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_in"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_sn"), size.alias("_size")]
-    same = Window.partitionBy("_i", "_in", "_s", "_sn", "_size")
-    nth = lambda *order: F.row_number().over(same.orderBy(*order)).alias("_nth")
-    on = ["_i", "_in", "_s", "_sn", "_size", "_nth"]
-    taken = allot(docs, weights, max_repeat).select(*key(F.col("size")), F.col("taken").alias("_taken")).select("*", nth(F.col("_taken").desc()))
-    whole = F.floor(F.col("_taken") / F.greatest("_size", F.lit(1)))
-    part = F.col("_taken") - whole * F.col("_size")
-    sizes = F.concat(F.array_repeat(F.col("_size"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = docs.select("*", *key(word_count(F.col("text")))).select("*", nth(F.col("text")))
-    out = out.join(taken.where("_taken > 0"), on).withColumn("_cut", F.explode(sizes))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_cut").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("_cut") == F.col("_size"), F.col("text")).otherwise(first))
+    names = fresh(docs.columns, "_id", "_no_id", "_src", "_no_src", "_size", "_nth", "_taken", "_cut")
+    i, no_i, s, no_s, size, nth, taken, cut = names
+    key = lambda n: [F.coalesce("doc_id", F.lit(0)).alias(i), F.col("doc_id").isNull().alias(no_i), F.coalesce("source", F.lit("")).alias(s), F.col("source").isNull().alias(no_s), n.alias(size)]
+    same = Window.partitionBy(*names[:5])
+    drawn = allot(docs, weights, max_repeat).select(*key(F.col("size")), F.col("taken").alias(taken))
+    drawn = drawn.select("*", F.row_number().over(same.orderBy(F.col(taken).desc())).alias(nth)).where(F.col(taken) > 0)
+    whole = F.floor(F.col(taken) / F.greatest(size, F.lit(1)))
+    part = F.col(taken) - whole * F.col(size)
+    sizes = F.concat(F.array_repeat(F.col(size), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    rows = docs.select("*", *key(word_count(F.col("text"))))
+    rows = rows.select("*", F.row_number().over(same.orderBy("text")).alias(nth))
+    out = rows.join(drawn, names[:6]).withColumn(cut, F.explode(sizes))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(cut).cast("int")), " ")
+    uncut = F.col(cut) == F.col(size)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut") == F.col("_size"), F.col("n_chars")).otherwise(F.char_length("text").cast("bigint")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(uncut, F.col("n_chars")).otherwise(F.char_length(first).cast("bigint")))
+    return out.withColumn("text", F.when(uncut, F.col("text")).otherwise(first)).select(docs.columns)
 
 
 #: The same rows in SQL.

@@ -8,18 +8,19 @@ and large ones speak for themselves. A document's posterior log odds are its evi
 the classifier less those of the labelled sample) plus the prior log odds of its path, with the
 document itself left out of that prior. A document is kept if it is good and not toxic.
 
-The classifier is fitted on at most ``sample`` labelled rows, the first by a hash of the id; the
-fitted model has at most ``MARKERS`` words and word beginnings and a dozen weights. Everything else
-covers all documents: scores, host and path sums, concentrations.
+The classifier is fitted on at most ``sample`` labelled rows, the first by a hash of the id; their words
+are counted on the executors, and the driver gets ``sample`` rows of a dozen numbers and at most three
+tables of ``MARKERS`` words and word beginnings, however long the texts are. Everything else covers
+all documents: scores, host and path sums, concentrations.
 
 Nulls: a null text is empty; a null host or path is a site of its own; labels with a null id or
 trait are ignored. Without labels of both kinds for a trait the classifier has no evidence, and a
-trait without evidence never rejects. Repeated rows are scored each. An empty table gives no rows.
+trait without evidence never rejects. Rows that
+share an id are scored each, and each is kept or goes by its own text. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import rows_of, store
+from keyloom.llm.common import rows_of, store, text_key, without
 
 SAMPLE, MARKERS, SUPPORT = 8000, 20_000, 4
 _EDGE = ".,;:!?\"'()[]{}<>|*%&$#-_"
@@ -111,50 +112,15 @@ class _Weights(dict):
         return v
 
 
-def _counted(found: pa.Array, rows: list[int], only: dict | None) -> Counter:
-    """Texts that hold each marker; the words of one text at a time are Python strings."""
-    seen: Counter = Counter()
-    for i in rows:
-        seen.update({m for w in found[i].as_py() for m in marks(w) if only is None or m in only})
-    return seen
-
-
 class Model:
-    """Fitted on labelled texts: logistic weights over the shape for quality; words that mark
-    toxicity, and logistic weights over their sum, maximum and number."""
-
-    def __init__(self, shapes: np.ndarray, found: pa.Array, quality: np.ndarray, toxic: np.ndarray):
-        self.quality = self.toxic = None
-        self.table: dict[str, float] = {}
-        self.base = {}
-        q, t = ~np.isnan(quality), ~np.isnan(toxic)
-        if 0 < quality[q].sum() < q.sum():
-            self.quality, self.base["quality"] = logistic(_expand(shapes[q]), quality[q]), float(quality[q].mean())
-        if 0 < toxic[t].sum() < t.sum():
-            fold = np.arange(len(toxic)) % 2  # weights are calibrated on texts the markers were not chosen from
-            xs, ys = [], []
-            for side in (0, 1):
-                table = self._markers(found, toxic, np.flatnonzero(t & (fold == side)))
-                other = np.flatnonzero(t & (fold != side))
-                xs.append(np.array([self._sums([max((table.get(m, 0.0) for m in marks(w)), default=0.0) for w in found[i].as_py()]) for i in other]))
-                ys.append(toxic[other])
-            self.toxic, self.base["toxic"] = logistic(np.concatenate([np.ones((sum(map(len, ys)), 1)), np.concatenate(xs)], 1), np.concatenate(ys)), float(toxic[t].mean())
-            self.table = self._markers(found, toxic, np.flatnonzero(t))
+    """Logistic weights over the shape for quality; words that mark toxicity with their log odds, and
+    logistic weights over their sum, maximum and number. A trait without both kinds has no weights."""
 
-    @staticmethod
-    def _markers(found: pa.Array, toxic: np.ndarray, rows: np.ndarray) -> dict[str, float]:
-        bad = [i for i in rows if toxic[i]]
-        seen = _counted(found, bad, None)
-        seen = {m: c for m, c in seen.items() if c >= SUPPORT}
-        other = _counted(found, [i for i in rows if not toxic[i]], seen)
-        n1, n0 = max(1, len(bad)), max(1, len(rows) - len(bad))
-        rate = lambda c, n: (c + 0.1) / (n + 0.2)
-        odds = {m: float(np.log(rate(c, n1) / rate(other.get(m, 0), n0))) for m, c in seen.items()}
-        strong = sorted(((v, m) for m, v in odds.items() if v > 2.5), reverse=True)[:MARKERS]
-        return {m: v for v, m in strong}
+    def __init__(self, quality: np.ndarray | None, toxic: np.ndarray | None, table: dict[str, float], base: dict[str, float]):
+        self.quality, self.toxic, self.table, self.base = quality, toxic, table, base
 
     @staticmethod
-    def _sums(values: list[float]) -> list[float]:
+    def sums(values: list[float]) -> list[float]:
         hit = [v for v in values if v]
         return [min(sum(hit), 30.0) / 10, max(hit, default=0.0) / 5, min(len(hit), 5) / 5]
 
@@ -170,33 +136,83 @@ class Model:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.as_py() or "" for t in batch.column("text")]
-        yield pa.RecordBatch.from_pydict({"quality": batch.column("quality"), "toxic": batch.column("toxic"), "shape": pa.array([shape(t) for t in texts], pa.list_(pa.float64())), "words": pa.array([sorted(set(t.lower().split())) for t in texts], pa.list_(pa.string()))})
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("quality", "toxic", "fold")} | {"shape": pa.array([shape(t) for t in texts], pa.list_(pa.float64())), "words": pa.array([sorted(set(t.lower().split())) for t in texts], pa.list_(pa.string()))})
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text the different markers it holds."""
+    for batch in batches:
+        found = [sorted({m for w in ws.as_py() for m in marks(w)}) for ws in batch.column("words")]
+        yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "fold": batch.column("fold"), "mark": pa.array(found, pa.list_(pa.string()))})
+
+
+def markers(features: DataFrame, sides: list[Column]) -> list[dict[str, float]]:
+    """For the texts of each side, the markers at least ``SUPPORT`` toxic ones hold, with the log of how
+    much oftener these hold them: of each side the ``MARKERS`` strongest."""
+    bad, out = F.col("toxic") == 1, []
+    n = features.agg(*(F.count(F.when(side & (bad == x), 1)) for side in sides for x in (True, False))).first()
+    each = features.select("toxic", "fold", "words").mapInArrow(_marks, "toxic double, fold int, mark array<string>").select("toxic", "fold", F.explode("mark").alias("mark"))
+    counts = each.groupBy("mark").agg(*(F.count(F.when(side & (bad == x), 1)).alias(f"{'b' if x else 'g'}{i}") for i, side in enumerate(sides) for x in (True, False)))
+    counts = store(counts.where(F.greatest(*(F.col(f"b{i}") for i in range(len(sides))), F.lit(0)) >= SUPPORT), "markers")
+    for i in range(len(sides)):
+        rate = lambda c, all_: (F.col(c) + 0.1) / (max(1, all_) + 0.2)
+        odds = F.log(rate(f"b{i}", n[2 * i]) / rate(f"g{i}", n[2 * i + 1])).alias("v")
+        strong = counts.where(F.col(f"b{i}") >= SUPPORT).select("mark", odds).where("v > 2.5").orderBy(F.col("v").desc(), F.col("mark").desc()).limit(MARKERS)
+        out.append({r["mark"]: r["v"] for r in strong.collect()})
+    return out
+
+
+def _crossed(tables: list[dict[str, float]]):
+    """Marker sums of the texts of each fold, by the table of the other one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = [_Weights(t) for t in tables]
+        for batch in batches:
+            sums = [Model.sums([weights[1 - fold][w] for w in ws.as_py()]) for ws, fold in zip(batch.column("words"), batch.column("fold").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "sums": pa.array(sums, pa.list_(pa.float64()))})
+
+    return work
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents."""
+    """A model from at most ``sample`` labelled documents. Markers and their calibration come from
+    different halves of the texts, dealt by a hash of the id."""
     good = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
-    chosen = good.select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    sign = lambda c: F.when(F.col(c) > 0, F.lit(1.0)).when(F.col(c).isNotNull(), F.lit(0.0)).alias(c)
+    chosen = good.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", sign("quality"), sign("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("fold"))
     chosen = store(chosen, "labelled")
-    rows = rows_of(docs.select("doc_id", "text"), chosen, ["doc_id"]).mapInArrow(_features, "quality double, toxic double, shape array<double>, words array<string>").toArrow()
-    shapes = np.array(rows.column("shape").to_pylist(), float).reshape(-1, len(NAMES))
-    num = lambda c: np.array([np.nan if v is None else float(v > 0) for v in rows.column(c).to_pylist()], float)
-    return Model(shapes, rows.column("words").combine_chunks(), num("quality"), num("toxic"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    features = store(rows_of(texts, chosen, ["doc_id"]).mapInArrow(_features, "quality double, toxic double, fold int, shape array<double>, words array<string>"), "features")
+    weights: dict[str, np.ndarray | None] = {"quality": None, "toxic": None}
+    base, table = {}, {}
+    q = features.where("quality is not null").select("quality", "shape").toArrow()
+    y = q.column("quality").to_numpy()
+    if 0 < y.sum() < len(y):
+        weights["quality"], base["quality"] = logistic(_expand(np.array(q.column("shape").to_pylist(), float)), y), float(y.mean())
+    judged = features.where("toxic is not null")
+    n, bad = judged.agg(F.count("*"), F.sum("toxic")).first()
+    if n and 0 < bad < n:
+        *halves, table = markers(judged, [F.col("fold") == 0, F.col("fold") == 1, F.lit(True)])
+        t = judged.select("toxic", "fold", "words").mapInArrow(_crossed(halves), "toxic double, sums array<double>").toArrow()
+        sums, y = np.array(t.column("sums").to_pylist(), float), t.column("toxic").to_numpy()
+        weights["toxic"], base["toxic"] = logistic(np.concatenate([np.ones((len(y), 1)), sums], 1), y), float(y.mean())
+    return Model(weights["quality"], weights["toxic"], table, base)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, host, path, p_quality, p_toxic per row of (doc_id, host, path, text)."""
+    """doc_id, text_key, host, path, p_quality, p_toxic per row of (doc_id, text_key, host, path, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _Weights(model.table)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column("text")]
             shapes = np.array([shape(t) for t in texts], float).reshape(-1, len(NAMES))
-            sums = np.array([model._sums([v for v in map(weights.__getitem__, set(t.lower().split())) if v]) for t in texts], float).reshape(-1, 3)
+            sums = np.array([model.sums([v for v in map(weights.__getitem__, set(t.lower().split())) if v]) for t in texts], float).reshape(-1, 3)
             good, bad = model.score(shapes, sums)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "host": batch.column("host"), "path": batch.column("path"), "p_quality": pa.array(good, from_pandas=True), "p_toxic": pa.array(bad, from_pandas=True)})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "text_key", "host", "path")} | {"p_quality": pa.array(good, from_pandas=True), "p_toxic": pa.array(bad, from_pandas=True)})
 
-    return docs.mapInArrow(work, "doc_id bigint, host string, path string, p_quality double, p_toxic double")
+    return docs.mapInArrow(work, "doc_id bigint, text_key bigint, host string, path string, p_quality double, p_toxic double")
 
 
 def _logit(p: Column) -> Column:
@@ -235,8 +251,8 @@ def posterior(scored: DataFrame, trait: str, base: float | None) -> DataFrame:
 
 
 def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """Per row of docs: doc_id, host, path, p_quality, p_toxic, host and path shares, quality, toxic, kept."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
+    """Per row of docs: doc_id, text_key, host, path, p_quality, p_toxic, host and path shares, quality, toxic, kept."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
     model = fit(docs, labels, sample)
     key = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c)))
     scored = store(classify(rows, model).withColumns({"hk": key("host"), "pk": key("path")}), "scored")
@@ -247,6 +263,5 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """docs without rejected documents. Rows with a null id stay."""
-    gone = assess(docs, labels, host, path).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "leftanti").select(docs.columns)
+    """docs without rejected documents."""
+    return without(docs, assess(docs, labels, host, path).where("not kept"))

@@ -22,7 +22,7 @@ def op2_near_duplicates(s, d):
 
 
 def op3_quality(s, d):
-    return quality.assess(_t(s, d, "documents"), _t(s, d, "labels"))
+    return quality.assess(_t(s, d, "documents"), _t(s, d, "labels")).drop("text_key")
 
 
 def op4_exact_top_k(s, d):

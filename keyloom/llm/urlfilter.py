@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import fresh
+
 RESULT = ("host", "active_rules", "rule", "since", "blocked")
 
 
@@ -54,18 +56,20 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", day: str = "
     (start of that rule's interval) and blocked."""
     spans = intervals(events)
     depth = spans.where("pattern like 'p:%'").agg(F.max(F.size(F.split("pattern", "/")) - 2)).first()[0] or 0
-    u, d = captures[url], captures[day]
-    distinct = captures.select(u.alias("_u"), d.alias("_d")).where("_u is not null and _d is not null").distinct()
+    kept = [c for c in captures.columns if c.lower() not in RESULT]
+    if url not in kept or day not in kept:
+        raise ValueError("url and day bear names of the result")
+    u, d = fresh(captures.columns, "_url", "_day")
+    distinct = captures.select(F.col(url).alias("_u"), F.col(day).alias("_d")).where("_u is not null and _d is not null").distinct()
     distinct = distinct.withColumn("_h", host(F.col("_u"))).where("_h <> ''")
     asked = distinct.select("_u", "_d", F.explode(patterns_of(F.col("_u"), F.col("_h"), int(depth))).alias("pattern"))
     held = asked.join(spans, "pattern").where("since <= _d and (until is null or _d < until)")
     best = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since"))
-    verdict = held.groupBy("_u", "_d").agg(F.count("*").alias("active_rules"), best.alias("_b"))
-    out = captures.drop(*RESULT).withColumn("host", F.coalesce(host(F.col(url)), F.lit("")))
-    out = out.join(verdict, (out[url] == verdict["_u"]) & (out[day] == verdict["_d"]), "left")
+    verdict = held.groupBy(F.col("_u").alias(u), F.col("_d").alias(d)).agg(F.count("*").alias("active_rules"), best.alias("rule"))
+    out = captures.select(*kept, F.coalesce(host(F.col(url)), F.lit("")).alias("host"))
+    out = out.join(verdict, (out[url] == verdict[u]) & (out[day] == verdict[d]), "left")
     active = F.coalesce("active_rules", F.lit(0))
-    keep = [c for c in captures.columns if c not in RESULT]
-    return out.select(*keep, "host", active.alias("active_rules"), F.col("_b.pattern").alias("rule"), F.col("_b.since").alias("since"), (active > 0).alias("blocked"))
+    return out.select(*kept, "host", active.alias("active_rules"), F.col("rule.pattern").alias("rule"), F.col("rule.since").alias("since"), (active > 0).alias("blocked"))
 
 
 def demo_events(pages: DataFrame) -> DataFrame:

@@ -63,6 +63,13 @@ def test_mixing_keeps_null_ids(spark):
     assert taken[None, "a"] > 0 and got == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_mix_leaves_clashing_columns(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(5 + i)), "a" if i < 8 else None, i, "x", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _taken int, _SIZE string, _cut int")
+    out = mixing.mix(df)
+    assert out.columns == df.columns and all(r._taken == r._cut == r.doc_id and r._SIZE == "x" for r in out.collect()) and out.count()
+
+
 # near duplicates
 
 
@@ -218,6 +225,71 @@ def test_quality_edge_cases(spark, odd_docs):
     assert quality.keep_good(odd_docs, some).columns == odd_docs.columns
 
 
+def brute_posterior(rows, base):
+    """Posterior of each (host, path, p) by plain loops: moments, shrinkage, the row itself left out."""
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for h, p, x in rows:
+        hosts[h].append(x)
+        paths[h, p].append(x)
+    overall = sum(x for _, _, x in rows) / len(rows)
+
+    def concentration(groups, around):
+        many = {k: g for k, g in groups.items() if len(g) > 1}
+        n = sum(map(len, many.values()))
+        spread = sum(len(g) * (sum(g) / len(g) - around(k)) ** 2 for k, g in many.items())
+        inside = sum((sum(x * x for x in g) - sum(g) ** 2 / len(g)) / len(g) for g in many.values())
+        law = sum(len(g) * around(k) * (1 - around(k)) for k, g in many.items())
+        return min(1e6, max(1.0, law / n / max(1e-6, (spread - inside) / n) - 1)) if n and law else 10.0
+
+    k = concentration(hosts, lambda _: overall)
+    h_share = {h: (k * overall + sum(g)) / (k + len(g)) for h, g in hosts.items()}
+    k = concentration(paths, lambda key: h_share[key[0]])
+    logit = lambda x: math.log(min(max(x, 1e-9), 1 - 1e-9) / (1 - min(max(x, 1e-9), 1 - 1e-9)))
+    out = []
+    for h, p, x in rows:
+        a, b = k * h_share[h] + sum(paths[h, p]), k + len(paths[h, p])
+        out.append((h_share[h], a / b, 1 / (1 + math.exp(-(logit(x) - logit(base) + logit((a - x) / (b - 1)))))))
+    return out
+
+
+def test_posterior_against_brute_force(spark, monkeypatch):
+    """All documents of a table through the query's own path: shares, concentrations, posteriors, kept."""
+    d = "/root/testdata/sf0.01"
+    models = []
+    monkeypatch.setattr(quality, "fit", lambda *a, fit=quality.fit: models.append(fit(*a)) or models[-1])
+    rows = queries.op3_quality(spark, d).collect()
+    assert len(rows) == 1000
+    q, t = (brute_posterior([(r.host, r.path, r[f"p_{x}"]) for r in rows], models[0].base[x]) for x in ("quality", "toxic"))
+    for r, (qh, qp, qq), (th, tp, tt) in zip(rows, q, t, strict=True):
+        assert np.allclose([r.quality_host, r.quality_path, r.quality, r.toxic_host, r.toxic_path, r.toxic], [qh, qp, qq, th, tp, tt], rtol=1e-6, atol=1e-9)
+        assert r.kept == (qq >= 0.5 and tt < 0.5)
+
+
+def test_markers_against_brute_force(spark):
+    """Counted on the executors as in one place."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null")
+    rows = spark.read.parquet(f"{d}/documents.parquet").join(labels, "doc_id").select("text", "toxic").collect()
+    n, c = Counter(), {0: Counter(), 1: Counter()}
+    for r in rows:
+        n[r.toxic] += 1
+        c[r.toxic].update({m for w in set((r.text or "").lower().split()) for m in quality.marks(w)})
+    odds = {m: math.log((k + 0.1) / (n[1] + 0.2) / ((c[0][m] + 0.1) / (n[0] + 0.2))) for m, k in c[1].items() if k >= quality.SUPPORT}
+    want = {m: v for m, v in odds.items() if v > 2.5}
+    got = quality.fit(spark.read.parquet(f"{d}/documents.parquet"), labels).table
+    assert want and got.keys() == want.keys() and all(math.isclose(got[m], want[m]) for m in want)
+
+
+def test_keep_good_goes_by_row(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    gone = quality.assess(docs, labels).where("not kept").select("doc_id").limit(1)
+    bad, good = docs.join(gone, "doc_id").first(), docs.join(quality.assess(docs, labels).where("kept").select("doc_id").limit(1), "doc_id").first()
+    more = spark.createDataFrame([(good.doc_id, bad.text, bad.lang, bad.source, 1), (None, bad.text, bad.lang, bad.source, 1)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    out = quality.keep_good(docs.unionByName(more), labels.where(F.col("doc_id") != good.doc_id))
+    assert out.where(F.col("doc_id") == good.doc_id).collect() == [good] and out.where("doc_id is null").count() == 0
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [("big", "p", 0.9)] * 200 + [("poor", "p", 0.1)] * 200 + [("tiny", "p", 0.1)]
     df = spark.createDataFrame([(i, h, p, h, p, v) for i, (h, p, v) in enumerate(rows)], "doc_id int, host string, path string, hk string, pk string, p_quality double")

@@ -102,7 +102,7 @@ def test_list_as_of_fetch(spark):
         ("http://a.y.org/", "2024-03-01", 1), ("http://b.a.y.org/", "2024-03-01", 0), ("http://z.net/bad/x", "2024-03-01", 1), ("http://z.net/bad/deep/x", "2024-03-01", 2), ("http://z.net/bad", "2024-03-01", 0), ("http://z.net/bad/?q=/a/", "2024-03-01", 1),
         (None, "2024-03-01", 0), ("junk", "2024-03-01", 0), ("", None, 0), ("http://a.y.org/", None, 0), ("http://a.y.org/", "2024-03-01", 1),
     ]
-    df = spark.createDataFrame([(i, u, d, n, "clash") for i, (u, d, n) in enumerate(cases)], "page_id int, url string, fetched string, want int, rule string").withColumn("fetched", F.col("fetched").cast("date"))
+    df = spark.createDataFrame([(i, u, d, n, "clash") for i, (u, d, n) in enumerate(cases)], "page_id int, url string, fetched string, want int, rule string").withColumns({"_u": F.lit(1), "_b": F.lit("x"), "_URL": F.lit(2), "Since": F.lit(3)}).withColumn("fetched", F.col("fetched").cast("date"))
     rows = urlfilter.judge(df, events).collect()
     assert len(rows) == len(cases) and all(r.active_rules == r.want and r.blocked == (r.want > 0) for r in rows)
     assert next(r.rule for r in rows if r.want == 2) == "p:z.net/bad/deep/"
