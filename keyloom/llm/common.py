@@ -15,15 +15,19 @@ __all__ = ["components", "dealt", "fresh", "global_rank", "hash_words", "look_up
 #: A word is a run of anything but space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _CACHED = 100_000
+#: Short rows in a file of a table whose size is known.
+A_FILE = 50_000
 #: Size of the Arrow batches between the JVM and a Python worker: each side holds a few at a time.
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
-def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def store(df: DataFrame, name: str, path: str | None = None, rows: int | None = None) -> DataFrame:
     """A table in the shared folder, read back; written with small Arrow batches, so that whole texts
-    take little memory beside the JVM. The session's own settings hold again afterwards."""
+    take little memory beside the JVM. The session's own settings hold again afterwards. Where it has
+    at most ``rows`` short rows, it gets a file for every ``A_FILE`` of them, not for every partition."""
     conf = df.sparkSession.conf
     before = {k: conf.get(k, None) for k in _BATCHES}
+    df = df if rows is None else df.coalesce(-(-max(rows, 1) // A_FILE))
     try:
         for k, v in _BATCHES.items():
             conf.set(k, v)
@@ -181,14 +185,15 @@ def rows_of(docs: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
     return docs.withColumn(sieve, bucket).mapInArrow(sift, docs.schema).join(wanted, key)
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rows: int | None = None) -> DataFrame:
     """(node, component) for the nodes of an undirected edge table (a, b); the component is its
     smallest node. Alternating large-star and small-star rounds: each round hangs neighbours on the
-    smallest one, with combined minima before the exchange, until the edges no longer change."""
+    smallest one, with combined minima before the exchange, until the edges no longer change; their number never
+    grows. rows: at most so many edges, if known."""
     spark = edges.sparkSession
     path = scratch_path(spark, name)
-    now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, f"{path}/0")
-    seen = None
+    now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, f"{path}/0", rows)
+    seen, rows = None, now.count()
     for i in range(1, 200):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -196,7 +201,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        step = store(small.distinct(), name, f"{path}/{i}")
+        step = store(small.distinct(), name, f"{path}/{i}", rows)
         stat = step.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         remove(spark, f"{path}/{i - 1}")
         now = step

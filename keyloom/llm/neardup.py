@@ -43,6 +43,8 @@ from keyloom.llm.common import components, global_rank, gram_hashes, hash_words,
 SIDE, DEPTH, EVERY = 16, 3, 3
 SMALL, AGREE = 48, 54
 BLOCK, BITS, FEW = 512, 2048, 64
+#: A pair brings two shingle sets; it counts as so many short rows.
+SETS = 16
 _LINES = np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64)
 _A, _B = ((mix64(_LINES + np.uint64(i << 32)) >> np.uint64(32)).astype(np.uint32) for i in (0, 1))
 _A |= np.uint32(1)
@@ -230,14 +232,15 @@ class _Links:
         found = found.withColumn("r", F.row_number().over(Window.partitionBy("la", "lb").orderBy("apart", "a", "b")))
         return found.where(F.col("r") <= top).select("a", "b", "la", "lb", "r")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are links, without pairs looked at before."""
+    def confirm(self, pairs: DataFrame, rows: int | None = None) -> DataFrame:
+        """Those of the pairs, at most ``rows``, that are links, without pairs looked at before."""
         pairs = pairs.select("a", "b")
-        pairs = store(pairs.join(self.tried, ["a", "b"], "leftanti") if self.tried else pairs, "candidates")
+        pairs = store(pairs.join(self.tried, ["a", "b"], "leftanti") if self.tried else pairs, "candidates", rows=rows)
         self.tried = self.tried.union(pairs) if self.tried else pairs
+        self.made = pairs.count()
         set_of = lambda c: self.sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
         both = pairs.join(set_of("a"), "a").join(set_of("b"), "b")
-        return store(both.mapInArrow(_confirmed(self.percent), "a bigint, b bigint"), "links")
+        return store(both.mapInArrow(_confirmed(self.percent), "a bigint, b bigint"), "links", rows=SETS * self.made)
 
 
 def _first(live: DataFrame) -> DataFrame:
@@ -276,15 +279,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # every node with the smallest likely partner, then with the other smallest nodes of its keys
     likely = store(links.likely(stars(buckets).distinct()), "likely")
-    labels = components(links.confirm(likely.groupBy("a").agg(F.min("b").alias("b"))))
-    labels = _more(links, _still(_ends(likely, labels)), labels)
+    n = likely.count()
+    labels = components(links.confirm(likely.groupBy("a").agg(F.min("b").alias("b")), n), rows=links.made)
+    labels = _more(links, _still(_ends(likely, labels)), labels, n)
     rows = buckets.select("key", "node", "c")
     labels = _more(links, links.within(_apart(rows.where(F.col("c") <= SMALL), labels)), labels)
     wide = store(_apart(rows.where(F.col("c") > SMALL), labels), "wide")
     if not wide.isEmpty():
         found = store(links.across(wide, FEW), "likely")
-        labels = _more(links, found.where("r = 1"), labels)
-        labels = _more(links, _still(_ends(found.where("r > 1"), labels)), labels)
+        n = found.count()
+        labels = _more(links, found.where("r = 1"), labels, n)
+        labels = _more(links, _still(_ends(found.where("r > 1"), labels)), labels, n)
         if not _still(_ends(found.where(F.col("r") == FEW), labels)).isEmpty():  # some likely pairs were not listed
             labels = _more(links, links.across(_apart(wide.drop("label"), labels), None), labels)
 
@@ -318,16 +323,17 @@ def _ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _label(_label(pairs.select("a", "b"), labels, "a", "la"), labels, "b", "lb")
 
 
-def _more(links: _Links, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Components after those of the pairs (of different components) that are confirmed; only the
-    components that these join are worked on."""
-    new = links.confirm(pairs)
+def _more(links: _Links, pairs: DataFrame, labels: DataFrame, rows: int | None = None) -> DataFrame:
+    """Components after those of the pairs (of different components, at most ``rows``) that are
+    confirmed; only the components that these join are worked on."""
+    new = links.confirm(pairs, rows)
     if new.isEmpty():
         return labels
-    roots = components(_ends(new, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    roots = components(_ends(new, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")), rows=links.made)
     lone = roots.select("node", F.col("node").alias("component")).join(labels, "node", "leftanti")
     moved = roots.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-    return store(labels.union(lone).join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
+    out = labels.union(lone).join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return store(out, "labels", rows=labels.count() + 2 * links.made)
 
 
 def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:

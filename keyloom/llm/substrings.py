@@ -88,7 +88,7 @@ def _digest(joined: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-_SCAN = pa.schema([("id", pa.int64()), ("null_id", pa.bool_()), ("tk", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("h", pa.list_(pa.int64())), ("block", pa.list_(pa.int64())), ("start", pa.list_(pa.int32())), ("size", pa.list_(pa.int32()))])
+_SCAN = pa.schema([("id", pa.int64()), ("null_id", pa.bool_()), ("tk", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("h", pa.list_(pa.int64())), ("block", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("starts", pa.list_(pa.list_(pa.int32())))])
 
 
 def _scan(span: int, seed: int):
@@ -99,12 +99,22 @@ def _scan(span: int, seed: int):
                 ws = words(text.as_py())
                 joined = b" ".join(ws)
                 h, block, start, size = blocks(hash_words(ws) if len(ws) >= span else np.empty(0, np.uint64), span, seed)
-                rows.append((LAST if doc_id is None else doc_id, doc_id is None, tk, *_digest(joined), len(ws), hashlib.sha256(joined).hexdigest(), h.view(np.int64), block.view(np.int64), start, size))
+                at, starts = _once(block, start)
+                rows.append((LAST if doc_id is None else doc_id, doc_id is None, tk, *_digest(joined), len(ws), hashlib.sha256(joined).hexdigest(), h[at].view(np.int64), block[at].view(np.int64), size[at], starts))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCAN)], schema=_SCAN)
 
     return work
 
 
+def _once(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each key of a text occurs first, and all its starts: what a text repeats within is one row."""
+    if not len(key):
+        return np.empty(0, np.int64), []
+    order = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    return order[new], np.split(start[order], new[1:])
+
+
 def _windows(span: int):
     """Window hashes of the blocks that are asked for."""
 
@@ -113,10 +123,11 @@ def _windows(span: int):
             starts, hashes = [], []
             for text, asked in zip(batch.column("text"), batch.column("asked"), strict=True):
                 whole = gram_hashes(hash_words(words(text.as_py())), span)
-                at = np.concatenate([np.arange(x["start"], x["start"] + x["size"]) for x in asked.as_py()])
-                starts.append(at.astype(np.int32))
-                hashes.append(whole[at].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "tk": batch.column("tk"), "start": pa.array(starts, pa.list_(pa.int32())), "w": pa.array(hashes, pa.list_(pa.int64()))})
+                at = np.concatenate([np.arange(x["start"], x["start"] + x["size"], dtype=np.int32) for x in asked.as_py()])
+                first, places = _once(whole[at], at)
+                starts.append(places)
+                hashes.append(whole[at[first]].view(np.int64))
+            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "tk": batch.column("tk"), "w": pa.array(hashes, pa.list_(pa.int64())), "starts": pa.array(starts, pa.list_(pa.list_(pa.int32())))})
 
     return work
 
@@ -132,7 +143,10 @@ def _runs(span: int):
             out: dict[str, list] = {k: [] for k in ("rep", "tk", "f", "ftk", "at", "n", "starts")}
             for rep, tk, found in zip(batch.column("rep").to_pylist(), batch.column("tk").to_pylist(), batch.column("found"), strict=True):
                 x = found.values
-                f, ftk, at, start, size = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("f", "ftk", "at", "start", "size"))
+                starts = x.field("starts")
+                start = starts.flatten().to_numpy().astype(np.int64)
+                many = np.diff(starts.offsets.to_numpy())
+                f, ftk, at, size = (np.repeat(x.field(c).to_numpy(zero_copy_only=False).astype(np.int64), many) for c in ("f", "ftk", "at", "size"))
                 o = np.lexsort((start, start - at, ftk, f))
                 f, ftk, at, start, size = (v[o] for v in (f, ftk, at, start, size))
                 go_on = (f[1:] == f[:-1]) & (ftk[1:] == ftk[:-1]) & (start[1:] - at[1:] == start[:-1] - at[:-1]) & (start[1:] <= start[:-1] + size[:-1])
@@ -180,11 +194,11 @@ def _cut(span: int, with_text: bool):
     return work
 
 
-def _first_holders(occ: DataFrame, key: list[str]) -> DataFrame:
+def _first_holders(rows: DataFrame, key: list[str]) -> DataFrame:
     """Per key: the first document that holds it (id, text key, start, size) and the number c of rows. The
     columns of one key are taken from one row, as each compares ids alone, in the same order."""
-    first = [F.min_by(c, "rep").alias(as_) for c, as_ in (("tk", "ftk"), ("start", "at"), ("size", "size"))]
-    return occ.groupBy(*key).agg(F.min("rep").alias("f"), *first, F.count("*").alias("c"))
+    first = [F.min_by(c, "rep").alias(as_) for c, as_ in (("tk", "ftk"), ("at", "at"), ("size", "size"))]
+    return rows.withColumn("at", F.col("starts")[0]).groupBy(*key).agg(F.min("rep").alias("f"), *first, F.count("*").alias("c"))
 
 
 def find_repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED, with_text: bool = False) -> DataFrame:
@@ -194,30 +208,30 @@ def find_repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED, with_text:
     if not seed <= span:
         raise ValueError("a seed is no longer than a span")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key().alias("tk"))
-    scanned = store(texts.mapInArrow(_scan(span, seed), "id bigint, null_id boolean, tk bigint, d1 bigint, d2 bigint, n_words bigint, sha string, h array<bigint>, block array<bigint>, start array<int>, size array<int>"), "scanned")
+    scanned = store(texts.mapInArrow(_scan(span, seed), "id bigint, null_id boolean, tk bigint, d1 bigint, d2 bigint, n_words bigint, sha string, h array<bigint>, block array<bigint>, size array<int>, starts array<array<int>>"), "scanned")
     first = scanned.groupBy("d1", "d2").agg(F.min(F.struct("id", "tk")).alias("r"), F.count("*").alias("c"))
     first = store(first.select("d1", "d2", F.col("r.id").alias("rep"), F.col("r.tk").alias("rtk"), "c"), "first")
     own = first.select("d1", "d2", F.col("rep").alias("id"), F.col("rtk").alias("tk"))
     mine = scanned.where(F.size("h") > 0).join(own, ["d1", "d2", "id", "tk"], "leftsemi")
-    occ = store(mine.select(F.col("id").alias("rep"), "tk", F.inline(F.arrays_zip("h", "block", "start", "size"))), "anchors")
+    occ = store(mine.select(F.col("id").alias("rep"), "tk", F.inline(F.arrays_zip("h", "block", "size", "starts"))), "anchors")
     shared = occ.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("_a"), F.max("rep").alias("_z")).where("_a < _z").select("h", "c")
     occ = store(look_up(occ, store(shared, "shared_anchors"), ["h"], "c"), "blocks")
 
     # 1. equal blocks
     holders = store(_first_holders(occ, ["h", "block"]), "holders")
-    again = look_up(occ, holders.where("c > 1").drop("size"), ["h", "block"], "c").where("f < rep").select("rep", "tk", "start", "size", "f", "ftk", "at")
+    again = look_up(occ, holders.where("c > 1").drop("size"), ["h", "block"], "c").where("f < rep").select("rep", "tk", "starts", "size", "f", "ftk", "at")
     # 2. windows of anchors with different blocks
     mixed = store(holders.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "mixed")
     open_ = look_up(holders.drop("c"), mixed, ["h"], "c")
     asked = open_.groupBy(F.col("f").alias("rep"), F.col("ftk").alias("tk")).agg(F.collect_set(F.struct(F.col("at").alias("start"), "size")).alias("asked"))
     keyed = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "tk", "text")
     asked = store(asked, "asked")
-    windows = store(rows_of(keyed, asked, ["rep", "tk"]).mapInArrow(_windows(span), "rep bigint, tk bigint, start array<int>, w array<bigint>"), "windows")
-    windows = windows.select("rep", "tk", F.inline(F.arrays_zip("start", "w"))).withColumn("size", F.lit(1))
+    windows = store(rows_of(keyed, asked, ["rep", "tk"]).mapInArrow(_windows(span), "rep bigint, tk bigint, w array<bigint>, starts array<array<int>>"), "windows")
+    windows = windows.select("rep", "tk", F.inline(F.arrays_zip("w", "starts"))).withColumn("size", F.lit(1))
     shared = store(_first_holders(windows, ["w"]).where("c > 1"), "shared")
-    more = look_up(windows, shared.drop("size"), ["w"], "c").where("f < rep").select("rep", "tk", "start", "size", "f", "ftk", "at")
+    more = look_up(windows, shared.drop("size"), ["w"], "c").where("f < rep").select("rep", "tk", "starts", "size", "f", "ftk", "at")
 
-    found = again.union(more).groupBy("rep", "tk").agg(F.collect_list(F.struct("f", "ftk", "at", "start", "size")).alias("found"))
+    found = again.union(more).groupBy("rep", "tk").agg(F.collect_list(F.struct("f", "ftk", "at", "size", "starts")).alias("found"))
     asks = store(found.mapInArrow(_runs(span), _ASK), "asks")
     # the passages, cut from the texts of first holders, then sent to all that asked
     passage = ["f", "ftk", "at", "n"]
@@ -231,7 +245,7 @@ def find_repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED, with_text:
     cut = rows_of(keyed, brought, ["rep", "tk"]).mapInArrow(_cut(span, with_text), "rep bigint, tk bigint, n_removed bigint, kept_sha256 string, spans array<array<bigint>>, kept string")
     cut = cut.dropDuplicates(["rep", "tk"]).select(F.col("rep").alias("id"), "tk", "n_removed", "kept_sha256", "spans", "kept")
 
-    rows = look_up(scanned.drop("h", "block", "start", "size"), first, ["d1", "d2"], "c").join(cut, ["id", "tk"], "left")
+    rows = look_up(scanned.drop("h", "block", "size", "starts"), first, ["d1", "d2"], "c").join(cut, ["id", "tk"], "left")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_words") >= span)
     out = rows.select(
         F.when(~F.col("null_id"), F.col("id")).alias("doc_id"), "n_words",
