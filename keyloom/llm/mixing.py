@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, fresh, global_rank, store, word_count
+from keyloom.llm.common import WORD, fresh, global_rank, store, text_key, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -51,9 +51,9 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, max_repeat: int
 
 
 def allot(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+    """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted), text_key."""
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), text_key(text).alias("text_key"))
     sized = store(sized.withColumn("_k", key).withColumn("_c", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0)), "sizes")
     classes = sized.groupBy("_k", "source", "_c").agg(F.sum("size").alias("_s"), F.count("*").alias("_n"))
     sources = classes.groupBy("_k", "source").agg(F.sum("_s").alias("source_size"), F.sum("_n").alias("_n"))
@@ -84,11 +84,11 @@ def allot(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = 3, doc_id
     cut = short.join(cut, "_k", "left")
     rows = rows.join(store(cut, "cuts"), "_k", "left")
     whole = F.coalesce(F.col("_whole"), F.lit(0)) * F.col("size")
-    keep = ["doc_id", "source", "size", "source_size", "target"]
+    keep = ["doc_id", "source", "size", "source_size", "target", "text_key"]
     inside = F.col("_b") == F.col("_cut")
     clear = rows.where(~F.coalesce(inside, F.lit(False)))
     clear = clear.select(*keep, (whole + F.when(F.col("_v").isNotNull() & (F.col("_all") | (F.col("_b") < F.col("_cut"))), F.col("size")).otherwise(0)).alias("taken"))
-    so_far = F.coalesce(F.sum("size").over(Window.partitionBy("_k").orderBy("_v", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    so_far = F.coalesce(F.sum("size").over(Window.partitionBy("_k").orderBy("_v", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = rows.where(inside).withColumn("_left", F.col("_quota") - F.col("_before") - so_far)
     edge = edge.select(*keep, (whole + F.greatest(F.lit(0), F.least("size", "_left"))).cast("bigint").alias("taken"))
     return clear.union(edge)
@@ -96,20 +96,21 @@ def allot(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = 3, doc_id
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = 3) -> DataFrame:
     """The mixed documents, with the columns of docs: each taken whole as often as it was drawn;
-    a part taken is its first words, joined by spaces. Rows that share id (or have none), source and
-    size get their allotments in the order of their texts."""
-    names = fresh(docs.columns, "_id", "_no_id", "_src", "_no_src", "_size", "_nth", "_taken", "_cut")
-    i, no_i, s, no_s, size, nth, taken, cut = names
-    key = lambda n: [F.coalesce("doc_id", F.lit(0)).alias(i), F.col("doc_id").isNull().alias(no_i), F.coalesce("source", F.lit("")).alias(s), F.col("source").isNull().alias(no_s), n.alias(size)]
-    same = Window.partitionBy(*names[:5])
-    drawn = allot(docs, weights, max_repeat).select(*key(F.col("size")), F.col("taken").alias(taken))
-    drawn = drawn.select("*", F.row_number().over(same.orderBy(F.col(taken).desc())).alias(nth)).where(F.col(taken) > 0)
+    a part taken is its first words, joined by spaces. A row is found again by id, source and text; rows
+    alike in all three share their allotments out, the largest first."""
+    names = fresh(docs.columns, "_id", "_no_id", "_src", "_no_src", "_key", "_nth", "_taken", "_size", "_cut")
+    i, no_i, s, no_s, k, nth, taken, size, cut = names
+    key = lambda text: [F.coalesce("doc_id", F.lit(0)).alias(i), F.col("doc_id").isNull().alias(no_i), F.coalesce("source", F.lit("")).alias(s), F.col("source").isNull().alias(no_s), text.alias(k)]
+    drawn = store(allot(docs, weights, max_repeat).select(*key(F.col("text_key")), F.col("taken").alias(taken), F.col("size").alias(size)), "drawn")
+    rows, on = docs.select("*", *key(text_key())), names[:5]
+    if not drawn.groupBy(*on).count().where("count > 1").isEmpty():
+        number = lambda order: F.row_number().over(Window.partitionBy(*names[:5]).orderBy(order)).alias(nth)
+        rows, drawn, on = rows.select("*", number(F.col(k))), drawn.select("*", number(F.col(taken).desc())), names[:6]
+    drawn = drawn.where(F.col(taken) > 0)
     whole = F.floor(F.col(taken) / F.greatest(size, F.lit(1)))
     part = F.col(taken) - whole * F.col(size)
     sizes = F.concat(F.array_repeat(F.col(size), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = docs.select("*", *key(word_count(F.col("text"))))
-    rows = rows.select("*", F.row_number().over(same.orderBy("text")).alias(nth))
-    out = rows.join(drawn, names[:6]).withColumn(cut, F.explode(sizes))
+    out = rows.join(drawn, on).withColumn(cut, F.explode(sizes))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(cut).cast("int")), " ")
     uncut = F.col(cut) == F.col(size)
     if "n_chars" in docs.columns:
