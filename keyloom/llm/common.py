@@ -14,7 +14,7 @@ __all__ = ["components", "dealt", "fresh", "global_rank", "hash_words", "look_up
 
 #: A word is a run of anything but space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-_CACHED = 100_000
+_CACHED = 50_000
 #: Short rows in a file of a table whose size is known.
 A_FILE = 50_000
 #: Size of the Arrow batches between the JVM and a Python worker: each side holds a few at a time.
@@ -159,16 +159,21 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
 
 
 SIEVE_BITS = 1 << 20
+#: So many keys, of some 16 bytes each, are few enough for a broadcast.
+FEW_KEYS = 100_000
 
 
 def rows_of(docs: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
-    """docs joined with wanted by key. A bitmap of at most 128 KiB of the wanted keys first drops
-    most other rows of docs, so that their texts are not shuffled; the join alone decides. The bitmap
-    is left out where so many rows are wanted that it would let nearly all pass."""
+    """docs joined with wanted by key, without shuffling the texts of most other rows: up to ``FEW_KEYS``
+    wanted keys are broadcast to drop them; above, a bitmap of 128 KiB does, unless so many rows are wanted
+    that it would let nearly all pass. The join alone decides."""
+    n = wanted.count()
+    if n <= FEW_KEYS:
+        return docs.join(F.broadcast(wanted.select(*key)), key, "leftsemi").join(wanted, key)
+    if n > 2 * SIEVE_BITS:
+        return docs.join(wanted, key)
     bucket = F.pmod(F.xxhash64(*key), F.lit(SIEVE_BITS)).cast("int")
     longs = wanted.select(bucket.alias("b")).groupBy(F.expr("b >> 6").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
-    if wanted.count() > 2 * SIEVE_BITS:
-        return docs.join(wanted, key)
     packed = np.zeros(SIEVE_BITS >> 6, np.int64)
     for at, bits in longs.collect():  # at most SIEVE_BITS / 64 rows
         packed[at] = bits

@@ -44,7 +44,7 @@ SIDE, DEPTH, EVERY = 16, 3, 3
 SMALL, AGREE = 48, 54
 BLOCK, BITS, FEW = 512, 2048, 64
 #: A pair brings two shingle sets; it counts as so many short rows.
-SETS = 16
+SETS = 128
 _LINES = np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64)
 _A, _B = ((mix64(_LINES + np.uint64(i << 32)) >> np.uint64(32)).astype(np.uint32) for i in (0, 1))
 _A |= np.uint32(1)

@@ -32,7 +32,7 @@ from keyloom.llm.common import rows_of, store, text_key, without
 
 SAMPLE, MARKERS, SUPPORT = 8000, 20_000, 4
 _EDGE = ".,;:!?\"'()[]{}<>|*%&$#-_"
-_CACHED = 200_000
+_CACHED = 50_000
 #: Bytes counted as letters: A-Z, then a-z and the first bytes of characters beyond ASCII.
 _UPPER = bytes(range(65, 91))
 _OTHER = bytes(range(97, 123)) + bytes(range(0xC2, 0xF5))
