@@ -332,6 +332,46 @@ def test_scores_edge_cases(spark, odd_docs):
     assert pitman_yor.score(odd_docs.limit(0)).count() == 0
 
 
+def test_scores_by_hand(spark):
+    """Pairs and words that occur once leave the sampler no choice: every score is a closed formula."""
+    train, held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2), [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    k, d, theta, d0, theta0 = 30, 0.8, 1.0, 0.7, 10.0
+    texts = {train: " ".join(f"w{i}" for i in range(k)), held[0]: "w3 W4 new w5 w29", held[1]: ""}
+    v = n = k + 1
+    after = {"w%d" % i: "w%d" % (i + 1) for i in range(k - 1)} | {None: "w0", f"w{k - 1}": "end"}
+    parent = lambda w: ((1 - d0 if w in after.values() else 0) + (theta0 + d0 * n) / (v + 1)) / (theta0 + n)
+    def pair(u, w):
+        return ((1 - d if after[u] == w else 0) + (theta + d) * parent(w)) / (theta + 1) if u in after else parent(w)
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    for i, text in texts.items():
+        ws = [*text.lower().split(), "end"]
+        assert math.isclose(got[i], sum(math.log10(pair(u, w)) for u, w in zip([None, *ws], ws)), rel_tol=1e-9)
+
+
+def test_gibbs_against_enumeration():
+    """Mean tables of the dishes of one small restaurant, by all seatings."""
+    d, theta, c, base = 0.8, 1.0, (5, 3), (0.2, 0.05)
+    s = np.exp(pitman_yor.stirling(d))
+    mean, total = np.zeros(2), 0.0
+    for t0 in range(1, 6):
+        for t1 in range(1, 4):
+            w = s[5, t0] * s[3, t1] * base[0] ** t0 * base[1] ** t1 * math.prod(theta + d * k for k in range(t0 + t1))
+            mean, total = mean + w * np.array([t0, t1]), total + w
+    rooms = 20_000
+    t = pitman_yor.gibbs(np.repeat(np.arange(rooms), 2), np.tile(c, rooms), np.tile(base, rooms), rooms, np.ones(rooms), d, theta, 1)
+    assert np.allclose(t.reshape(-1, 2).mean(0), mean / total, rtol=0.02)
+
+
+def test_contexts_are_split_by_their_number(spark):
+    """Contexts that are no large share of the corpus are split as soon as they overfill a bucket, and
+    chunks send to occupied buckets only."""
+    rng = np.random.default_rng(0)
+    texts = [(i, " ".join(f"c{j}" if k % 2 else f"n{j}" for k, j in enumerate(rng.integers(0, 300, 400).tolist()))) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    one, many = ({r.doc_id: (r.n_known, r.base_score, r.score) for r in pitman_yor.score(df, **kw).collect()} for kw in ({}, {"chunk": 2000, "bucket": 20}))
+    assert all(one[i][0] == many[i][0] and math.isclose(one[i][1], many[i][1]) and abs(one[i][2] - many[i][2]) < 0.05 * abs(one[i][2]) for i in one)
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     c = np.repeat([1, 2, 30, 500], 4000)
