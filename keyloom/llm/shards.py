@@ -1,7 +1,7 @@
 """Vectors in shards: packing rows into per-shard indexes and streaming query blocks past them.
 
 A stated query set is searched against all rows. Rows are dealt to shards of bounded size by a hash
-of their id, each shard becomes one index row; queries are packed into blocks of bounded size and
+of id and vector, so that rows which share an id spread; each shard becomes one index row; queries are packed into blocks of bounded size and
 every shard reads every block. In a partition the rows arrive as index, block, block, ..., next
 index, so a task holds one index and one block at a time.
 """
@@ -42,7 +42,7 @@ def dealt(df: DataFrame, counts: dict[int, int], size: int) -> tuple[DataFrame,
     number: Column = F.lit(1)
     for dim, n in parts.items():
         number = F.when(F.col("dim") == dim, F.lit(n)).otherwise(number)
-    return df.withColumn("part", F.pmod(F.xxhash64("vec_id"), number).cast("int")), parts
+    return df.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), number).cast("int")), parts
 
 
 def packed(df: DataFrame, build: Callable[[np.ndarray, np.ndarray], object]) -> DataFrame:
