@@ -15,8 +15,8 @@ are joined into components. Only keys whose nodes are still in different compone
 again, pair by pair across components: small ones (at most ``SMALL`` nodes) at once, large ones in
 blocks of about ``BLOCK`` nodes outside the key's largest component against ``BLOCK`` of all its
 nodes. Large keys are read once: of each two components the ``FEW`` likeliest pairs are listed, the
-likeliest confirmed first, then the others; only where two components had more than ``FEW`` likely
-pairs and are still apart, large keys are read again for every pair. A candidate is left out if the sizes exclude a link, if
+likeliest confirmed first, then the others; only of components that had more than ``FEW`` likely
+pairs with another and are still apart from it, the nodes are compared again, pair by pair. A candidate is left out if the sizes exclude a link, if
 fewer than ``AGREE`` of its 96 minhashes agree (at similarity 0.8 that has probability below 1e-7)
 or, in large keys, if the parities of the two sets in ``BITS`` classes differ in more classes than
 a link leaves differing shingles (no link is lost by that). Every other candidate is confirmed on
@@ -290,8 +290,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         n = found.count()
         labels = _more(links, found.where("r = 1"), labels, n)
         labels = _more(links, _still(_ends(found.where("r > 1"), labels)), labels, n)
-        if not _still(_ends(found.where(F.col("r") == FEW), labels)).isEmpty():  # some likely pairs were not listed
-            labels = _more(links, links.across(_apart(wide.drop("label"), labels), None), labels)
+        # components that had more likely pairs than were listed, and are still apart: every pair of theirs
+        left = _ends(found.where(F.col("r") == FEW), labels).where("la <> lb")
+        if not left.isEmpty():
+            open_ = left.select(F.explode(F.array("la", "lb")).alias("label")).distinct()
+            rows = _label(wide.drop("label"), labels, "node", "label").join(open_, "label", "leftsemi")
+            labels = _more(links, links.across(store(rows.select("key", "node", "label"), "open"), None), labels)
 
     found = first.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
     found = found.select("d1", "d2", "c", F.col("id").alias("_id"), F.col("tk").alias("_tk"), (F.col("node") == F.col("root")).alias("_chief"), "root")

@@ -1,8 +1,8 @@
 """Vectors in shards: packing rows into per-shard indexes and streaming query blocks past them.
 
 A stated query set is searched against all rows. Rows are dealt to shards of bounded size by a hash
-of id and vector, so that rows which share an id spread; each shard becomes one index row; queries are packed into blocks of bounded size and
-every shard reads every block. In a partition the rows arrive as index, block, block, ..., next
+of id and vector, so that rows which share an id spread; each shard becomes one index row; queries
+are packed into blocks of bounded size and every shard reads every block. In a partition the rows arrive as index, block, block, ..., next
 index, so a task holds one index and one block at a time.
 """
 
