@@ -38,11 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, global_rank, gram_hashes, hash_words, look_up, mix64, rows_of, store, text_key, without, words
+from keyloom.llm.common import FEW_KEYS, components, global_rank, gram_hashes, hash_words, look_up, mix64, rows_of, store, text_key, without, words
 
 SIDE, DEPTH, EVERY = 16, 3, 3
 SMALL, AGREE = 48, 54
-BLOCK, BITS, FEW = 512, 2048, 64
+BLOCK, BITS, FEW = 2048, 2048, 64
 #: A pair brings two shingle sets; it counts as so many short rows.
 SETS = 128
 _LINES = np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64)
@@ -137,18 +137,18 @@ def _within(percent: int):
 
 def _across(percent: int, top: int | None):
     """Likely pairs (a > b) with the labels of their components, between the nodes outside the
-    largest component (``rest``) and all nodes of each block; ``top`` of each two components."""
+    largest component (role 2) and all nodes (role 1; 3 is both) of each block; ``top`` of each two components."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             g = batch.column("g")
             v = g.values
-            rest, node, label, n = (v.field(c).to_numpy(zero_copy_only=False) for c in ("rest", "node", "label", "n"))
+            role, node, label, n = (v.field(c).to_numpy(zero_copy_only=False) for c in ("role", "node", "label", "n"))
             sketch = np.frombuffer(b"".join(v.field("sketch").to_pylist()), np.uint16).reshape(-1, len(_A))
             bits = np.frombuffer(b"".join(v.field("parity").to_pylist()), np.uint64).reshape(-1, BITS // 64)
             at, found = g.offsets.to_numpy(), [np.empty((5, 0), np.int64)]
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                mine, others = lo + np.flatnonzero(rest[lo:hi]), lo + np.flatnonzero(~rest[lo:hi])
+                mine, others = lo + np.flatnonzero(role[lo:hi] & 2), lo + np.flatnonzero(role[lo:hi] & 1)
                 block = [np.empty((5, 0), np.int64)]
                 for i in mine:
                     j = others[label[others] != label[i]]
@@ -221,11 +221,11 @@ class _Links:
         rows = rows.join(size, "key").join(self.nodes.select("node", "n", "sketch", "parity"), "node")
         rest = F.col("label") != F.col("_main")
         mine = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-        deal = lambda n, block, of: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct(*block(x), F.lit(of).alias("rest")))
-        all_of = deal("_p", lambda x: (x.alias("p"), mine(1, "_q").alias("q")), False)
-        rest_of = deal("_q", lambda x: (mine(0, "_p").alias("p"), x.alias("q")), True)
-        dealt = rows.withColumn("_d", F.explode(F.when(rest, F.concat(all_of, rest_of)).otherwise(all_of)))
-        full = dealt.groupBy("key", "_d.p", "_d.q").agg(F.collect_list(F.struct("_d.rest", "node", "label", "n", "sketch", "parity")).alias("g"))
+        row, column = mine(0, "_p"), mine(1, "_q")  # a node is met in its column by all, in its row it meets all
+        met = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda x: F.struct(x.alias("p"), column.alias("q"), F.when(rest & (x == row), 3).otherwise(1).alias("role")))
+        meets = F.transform(F.filter(F.sequence(F.lit(0), F.col("_q") - 1), lambda x: x != column), lambda x: F.struct(row.alias("p"), x.alias("q"), F.lit(2).alias("role")))
+        dealt = rows.withColumn("_d", F.explode(F.when(rest, F.concat(met, meets)).otherwise(met)))
+        full = dealt.groupBy("key", "_d.p", "_d.q").agg(F.collect_list(F.struct("_d.role", "node", "label", "n", "sketch", "parity")).alias("g"))
         found = full.select("g").mapInArrow(_across(self.percent, top), "a bigint, b bigint, la bigint, lb bigint, apart bigint").distinct()
         if top is None:
             return found.select("a", "b", "la", "lb", F.lit(1).alias("r"))
@@ -293,7 +293,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         # components that had more likely pairs than were listed, and are still apart: every pair of theirs
         left = _ends(found.where(F.col("r") == FEW), labels).where("la <> lb")
         if not left.isEmpty():
-            open_ = left.select(F.explode(F.array("la", "lb")).alias("label")).distinct()
+            open_ = store(left.select(F.explode(F.array("la", "lb")).alias("label")).distinct(), "open", rows=2 * n)
+            open_ = F.broadcast(open_) if open_.count() <= FEW_KEYS else open_
             rows = _label(wide.drop("label"), labels, "node", "label").join(open_, "label", "leftsemi")
             labels = _more(links, links.across(store(rows.select("key", "node", "label"), "open"), None), labels)
 
