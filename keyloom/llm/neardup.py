@@ -215,7 +215,7 @@ class _Links:
         """Likely pairs (a, b, la, lb, r) across the components of each large key, at most ``top`` of each two
         components, r counting them from the likeliest. The nodes outside the key's largest component are dealt over p chunks, all
         nodes over q, and p * q blocks compared."""
-        size = rows.groupBy("key", "label").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_m"), F.sum("_n").alias("_all"))
+        size = rows.groupBy("key", "label").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_m"), F.sum("_n").alias("_all")).where("_all > _m._n")
         chunks = lambda x: F.ceil(x / BLOCK).cast("int")
         size = size.select("key", F.col("_m.label").alias("_main"), chunks(F.col("_all") - F.col("_m._n")).alias("_p"), chunks(F.col("_all")).alias("_q"))
         rows = rows.join(size, "key").join(self.nodes.select("node", "n", "sketch", "parity"), "node")
