@@ -28,8 +28,9 @@ def parser() -> argparse.ArgumentParser:
     for v in ("merge", "sort"):
         verbs[v].add_argument("-o", "--output")
         verbs[v].add_argument("--mode", choices=("errorifexists", "append", "overwrite"), default="errorifexists")
-    for v in ("dump", "info", "export"):
+    for v in ("dump", "info", "export", "get"):
         verbs[v].add_argument("--compat", action="store_true")
+    verbs["index"].add_argument("--rebuild", action="store_true", help="first write a complete index")
     return p
 
 
@@ -72,6 +73,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     if not there:
         return 0
     if args.verb == "index":
+        for p in there if args.rebuild else ():
+            ops.rebuild_index(spark, p)
         _print(render.index_lines(ops.read(spark, there, mode="index")), out)
         return 0
     data = ops.read(spark, there)
@@ -80,6 +83,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     elif args.verb == "export":
         form = args.format or "default"
         _print(render.lines(data, f"{form}_compat" if args.compat and form in ("json", "csv") else form), out)
+    elif args.verb == "get" and args.compat:
+        files = spark.createDataFrame([(i, split_existing([index_path(p)])[0] != []) for i, p in enumerate(there)], "file_ord int, indexed boolean")
+        _print(ops.get_compat(data, ops.read(spark, there, mode="index", missing="skip"), files, args.key, args.n), out)
     elif args.verb == "get":
         _print(render.lines(ops.get(data, args.key, args.n)), out)
     else:

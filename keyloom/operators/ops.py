@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import exprs
-from keyloom.sources.paths import facts
+from keyloom.sources.paths import facts, index_path, local
 
 SEQ = ("file_ord", "offset")
 
@@ -75,6 +75,28 @@ def get(df: DataFrame, key: object, n: int | None = None) -> DataFrame:
     return hit.withColumn("_pos", pos).where(F.col("_pos") <= n).drop("_pos")
 
 
+def get_compat(data: DataFrame, index: DataFrame, files: DataFrame, key: object, n: int | None = None) -> DataFrame:
+    """As the established tool looks a key up: ``files`` lists (file_ord, indexed). In a file with an
+    index it goes to the key's entry and takes rows while the key stays the same, at least one; in
+    one without, all rows with the key, rendered as values only, and n = 0 looks at the first row
+    alone. Files after the first index that lacks the key are not searched. Among several entries
+    of a key the tool's search may meet any; here it is the first. Returns the rows with ``line``."""
+    at = index.where(F.col("key") == F.lit(key)).groupBy("file_ord").agg(F.min("offset").cast("bigint").alias("_at"))
+    listed = files.select("file_ord", "indexed").join(at, "file_ord", "left")
+    lost = F.max(F.col("indexed") & F.col("_at").isNull()).over(Window.orderBy("file_ord"))  # a row per file
+    searched = F.broadcast(listed.withColumn("_lost", lost).where(~F.col("_lost")).drop("_lost"))
+    rows, same = data.join(searched, "file_ord"), F.col("key") == F.lit(key)
+    run = rows.where("indexed and offset >= _at").groupBy("file_ord").agg(F.min("seq").alias("_from"), F.min(F.when(~same, F.col("seq"))).alias("_to"))
+    if n is not None:
+        run = run.withColumn("_to", F.least("_to", F.col("_from") + max(n, 1)))
+    there = data.columns
+    seek = rows.where("indexed").where(same).join(F.broadcast(run), "file_ord").where("seq >= _from and (_to is null or seq < _to)")
+    scan = rows.where("not indexed")
+    scan = scan.where("seq = 0").where(same) if n == 0 else get(scan, key, n)
+    line = F.concat(F.col("key").cast("string"), F.lit(": "), F.col("value").cast("string"))
+    return seek.select(*there, line.alias("line")).unionByName(scan.select(*there, F.col("value").cast("string").alias("line")))
+
+
 def merge(*tables: DataFrame) -> DataFrame:
     """All rows of all tables by key; equal keys keep table order, then append order."""
     return reduce(lambda a, b: a.unionByName(b), tables).orderBy("key", *SEQ)
@@ -133,13 +155,13 @@ def info(spark: SparkSession, paths: list[str], key_type: str = "string", compat
     """One row per requested path, missing files included; an empty index has count 0."""
     seen = [facts(p) for p in paths]
     head = spark.createDataFrame(
-        [(i, f.path, f.data_exists, f.data_size, f.index_path, f.index_exists, f.index_size) for i, f in enumerate(seen)],
-        "pos int, path string, data_exists boolean, data_size bigint, index_path string, index_exists boolean, index_size bigint",
+        [(i, f.path, local(f.path), f.data_exists, f.data_size, f.index_path, f.index_exists, f.index_size) for i, f in enumerate(seen)],
+        "pos int, path string, _local string, data_exists boolean, data_size bigint, index_path string, index_exists boolean, index_size bigint",
     )
     there = [f.path for f in seen if f.index_exists]
     empty = spark.createDataFrame([], f"path string, count bigint, sorted string, min {_sql(key_type)}, max {_sql(key_type)}, unique boolean")
     found = profile(read(spark, there, mode="index", keyType=key_type), key_type, compat) if there else empty
-    out = head.join(found, "path", "left")
+    out = head.join(found.withColumnRenamed("path", "_local"), "_local", "left")
     fill = lambda c, v: F.when(F.col("index_exists"), F.coalesce(F.col(c), F.lit(v))).alias(c)
     return out.select("path", "data_exists", "data_size", "index_path", "index_exists", "index_size", fill("count", 0), fill("sorted", "native,cbor"), "min", "max", fill("unique", True), "pos")
 
@@ -151,8 +173,6 @@ def _sql(kind: str) -> str:
 def save(df: DataFrame, path: str, mode: str = "errorifexists", key_type: str = "string", value_type: str = "string", layout: str = "single", partitions: int = 8, **options: str) -> None:
     """Write key and value in the order (key, file_ord, offset) when layout is ``parts`` (range
     partitions, one file pair each), or in stored order into one file pair when ``single``."""
-    from keyloom.sources.paths import local
-
     import os
 
     if mode == "errorifexists":
@@ -180,6 +200,20 @@ def append(spark: SparkSession, paths: list[str], key: object, value: object, ke
         row.coalesce(1).write.format("cborkv").options(keyType=key_type, valueType=value_type).mode("append").save(p)
 
 
+def rebuild_index(spark: SparkSession, path: str, key_type: str = "string", value_type: str = "string") -> None:
+    """Write a new index over all whole records of a data file whose index is lost or lists only
+    the rows appended after the loss. One task reads the file; the index is put in place at once."""
+    import os
+    import uuid
+
+    target = local(path)
+    new = index_path(f"{target}.{uuid.uuid4().hex}")
+    rows = read(spark, [path], keyType=key_type, valueType=value_type, indexPath=f"{new}.none")
+    rows.select("key", F.col("offset").cast("decimal(20,0)").alias("value")).write.format("cborkv").options(keyType=key_type, valueType="uint64", indexPath=f"{new}.own").mode("overwrite").save(new)
+    os.replace(new, index_path(target))
+    os.remove(f"{new}.own")
+
+
 # Extensions: not operations of the established tool, only items of its wish list.
 
 

@@ -18,7 +18,7 @@ RENDERERS = {
     "tsv": lambda k, v: F.concat(_text(k), F.lit("\t"), _text(v)),
     "tsv_hex": lambda k, v: F.concat(hex_list(k), F.lit("\t"), hex_list(v)),
     "json": lambda k, v: F.to_json(F.map_from_arrays(F.array(_text(k)), F.array(_text(v)))),
-    "csv": lambda k, v: F.to_csv(F.struct(_text(k).alias("key"), _text(v).alias("value")), {"quote": '"', "escape": '"'}),
+    "csv": lambda k, v: F.to_csv(F.struct(_text(k).alias("key"), _text(v).alias("value")), {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}),
     # without escaping, as the established tool prints them
     "json_compat": lambda k, v: F.concat(F.lit('{"'), _text(k), F.lit('": "'), _text(v), F.lit('"},')),
     "csv_compat": lambda k, v: F.concat(_text(k), F.lit(","), _text(v)),

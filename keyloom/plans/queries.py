@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import exprs
 from keyloom.operators import ops, render
 from keyloom.sources import register
+from keyloom.sources.paths import index_path, local
 from keyloom.sources.shared import scratch_path
 
 QUERIES: dict = {}
@@ -193,6 +196,27 @@ def export_csv(s, d):
     return render.lines(kv(s, d), "csv_compat").select("line")
 
 
+@query("SELECT '{' || CAST(to_json(source) AS VARCHAR) || ':' || CAST(to_json(text) AS VARCHAR) || '}' AS line FROM documents WHERE source IS NOT NULL")
+def export_json_escaped(s, d):
+    return render.lines(docs(s, d), "json").select("line")
+
+
+_CSV = "CASE WHEN {0} IS NULL OR {0} = '' THEN '\"\"' WHEN regexp_matches({0}, '[,\"\\n\\r]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+
+
+@query(f"SELECT {_CSV.format('source')} || ',' || {_CSV.format('text')} AS line FROM documents")
+def export_csv_quoted(s, d):
+    return render.lines(docs(s, d), "csv").select("line")
+
+
+_HEX = "'[' || rtrim(regexp_replace(regexp_replace(lower(hex(encode({0}))), '(..)', '\\1, ', 'g'), '(^|, )0', '\\1', 'g'), ', ') || ']'"
+
+
+@query(f"SELECT {_HEX.format('p_name')} || chr(9) || {_HEX.format('p_brand')} AS line FROM part")
+def tsv_hex(s, d):
+    return render.lines(parts(s, d).withColumns({c: F.encode(c, "UTF-8") for c in ("key", "value")}), "tsv_hex").select("line")
+
+
 @query("SELECT source || ': ' || text AS line FROM documents")
 def export_default(s, d):
     return render.lines(docs(s, d)).select("line")
@@ -219,6 +243,11 @@ def embedded_value_and_major(s, d):
     return _t(s, d, "events").select("event_id", exprs.embedded_of(b).alias("embedded"), exprs.major_of(b).alias("major"), exprs.extended_size(b).cast("bigint").alias("extended"))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey < 24 THEN CAST(o_orderkey AS INTEGER) WHEN o_orderkey < 256 THEN 24 WHEN o_orderkey < 65536 THEN 25 WHEN o_orderkey < 4294967296 THEN 26 ELSE 27 END AS embedded FROM orders")
+def embedded_for(s, d):
+    return _t(s, d, "orders").select("o_orderkey", exprs.embedded_for(F.col("o_orderkey")).cast("int").alias("embedded"))
+
+
 @query(f"SELECT o_orderkey, CAST({_extra('o_orderkey')} AS INTEGER) AS extra_bytes FROM orders")
 def num_bytes(s, d):
     return _t(s, d, "orders").select("o_orderkey", exprs.num_bytes(F.col("o_orderkey")).alias("extra_bytes"))
@@ -282,10 +311,70 @@ def sorted_parts(s, d):
     return ops.read(s, [path]).select("key", "value")
 
 
-@query("SELECT event_type AS key, props AS value, event_id AS seq FROM events WHERE event_id % 2 = 0")
+_APPENDED = "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value, 0 AS f, n_nationkey AS o FROM nation UNION ALL SELECT s_name, CAST(s_nationkey AS VARCHAR), 1, s_suppkey FROM supplier"
+_IN_FILE = f"SELECT key, value, f, CAST(coalesce(sum({_item('key')} + {_item('value')}) OVER (ORDER BY f, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ({_APPENDED})"
+
+
+def _appended(s, d, lose_index=False):
+    """A file of nations to which suppliers were appended, after its index was lost if so asked."""
+    path = _written(s, ops.table(_t(s, d, "nation"), "n_name", F.col("n_regionkey").cast("string"), "n_nationkey"))
+    if lose_index:
+        os.remove(index_path(local(path)))
+    ops.save(ops.table(_t(s, d, "supplier"), "s_name", F.col("s_nationkey").cast("string"), "s_suppkey"), path, mode="append")
+    return path
+
+
+@query(f'SELECT key, value, "offset" FROM ({_IN_FILE})')
+def append(s, d):
+    return ops.read(s, [_appended(s, d)]).select("key", "value", "offset")
+
+
+@query(f'SELECT key, value, "offset" FROM ({_IN_FILE}) WHERE f = 1')
 def index_semi_join(s, d):
-    df = kv(s, d)
-    return ops.reachable(df, df.where("offset % 2 = 0").select("path", "offset")).select("key", "value", "seq")
+    """The rows that an index made after the loss of an earlier one lists."""
+    path = _appended(s, d, lose_index=True)
+    return ops.reachable(ops.read(s, [path]), ops.read(s, [path], mode="index")).select("key", "value", "offset")
+
+
+@query(f"SELECT \"offset\", 'not indexed' AS fault FROM ({_IN_FILE}) WHERE f = 0")
+def validate(s, d):
+    path = _appended(s, d, lose_index=True)
+    return ops.validate(ops.read(s, [path]), ops.read(s, [path], mode="index")).select("offset", "fault")
+
+
+@query(f'SELECT key, "offset" FROM ({_IN_FILE})')
+def rebuilt_index(s, d):
+    path = _appended(s, d, lose_index=True)
+    ops.rebuild_index(s, path)
+    return ops.read(s, [path], mode="index").select("key", F.col("offset").cast("bigint").alias("offset"))
+
+
+@query(
+    f"SELECT true AS data_exists, CAST(sum({_item('key')} + {_item('value')}) AS BIGINT) AS data_size, true AS index_exists, CAST(sum({_item('key')} + 1 + {_extra(chr(34) + 'offset' + chr(34))}) AS BIGINT) AS index_size, count(*) AS count, min(key) AS min, max(key) AS max, count(*) = count(DISTINCT key) AS \"unique\" FROM ({_IN_FILE}) "
+    "UNION ALL SELECT false, NULL, false, NULL, NULL, NULL, NULL, NULL"
+)
+def info_files(s, d):
+    """Facts and profile of a written file and of one that is not there."""
+    return ops.info(s, [_appended(s, d), scratch_path(s, "none.sst")]).drop("path", "index_path", "sorted", "pos")
+
+
+@query("SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation UNION ALL SELECT s_name, CAST(s_nationkey AS VARCHAR) FROM supplier")
+def missing_skipped(s, d):
+    """Several inputs, one of which is not there."""
+    return ops.read(s, [scratch_path(s, "none.sst"), _appended(s, d)], missing="skip").select("key", "value")
+
+
+@query(
+    "WITH e AS (SELECT event_type AS key, props AS value, event_id AS o FROM events), a AS (SELECT min(o) AS o FROM e WHERE key = 'click'), z AS (SELECT coalesce(min(e.o), 9223372036854775807) AS o FROM e, a WHERE e.o > a.o AND key <> 'click') "
+    "(SELECT key || ': ' || value AS line, 0 AS file_ord FROM e WHERE key = 'click' AND o >= (SELECT o FROM a) AND o < (SELECT o FROM z) ORDER BY o LIMIT 3) UNION ALL (SELECT value, 1 FROM e WHERE key = 'click' ORDER BY o LIMIT 3)"
+)
+def get_compat(s, d):
+    """Four files: with an index, without one, with an index that lacks the key, and one after it."""
+    shift = lambda df, i: df.withColumn("file_ord", F.lit(i))
+    events, lacking = kv(s, d), shift(parts(s, d), 2)
+    data = shift(events, 0).unionByName(shift(events, 1)).unionByName(lacking).unionByName(shift(events, 3))
+    files = s.createDataFrame([(0, True), (1, False), (2, True), (3, False)], "file_ord int, indexed boolean")
+    return ops.get_compat(data, ops.index(shift(events, 0)).unionByName(ops.index(lacking)), files, "click", 3).select("line", "file_ord")
 
 
 # Extensions (not operations of the established tool)

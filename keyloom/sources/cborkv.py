@@ -5,12 +5,12 @@ input only), ``missing`` fail|skip, ``failOnTruncated``, ``splitBytes`` (target
 ``layout`` single|parts (write), ``bufferSize`` (write).
 
 The format has no sync marker, so a file is splittable only with its index: every so many index
-offsets become split boundaries. Without a complete index a file is one partition.
+offsets become split boundaries. Without a complete index a file is one partition. Key predicates
+are resolved in the index by the tasks, each in its split's part of it.
 """
 
 from __future__ import annotations
 
-import bisect
 import glob
 import json
 import mmap
@@ -61,7 +61,7 @@ class _Split(InputPartition):
     start: int
     end: int
     seq: int | None
-    offsets: tuple | None = None
+    entries: tuple[int, int] | None = None  # byte range of its entries in the index; None: not known
 
     def __post_init__(self):
         super().__init__(self)
@@ -131,41 +131,38 @@ class Reader(DataSourceReader):
         return out or [_Split("", 0, 0, 0, 0)]
 
     def _splits(self, path: str, n: int, size: int) -> list[_Split]:
+        """Splits of about ``splitBytes`` where the index covers the file, else one. Only their bounds
+        are held here; entries that pass the key predicates are found where a split is read."""
         index = self.o.index_of(path)
-        small = size <= self.o.split_bytes
-        if not size or not os.path.isfile(index) or (small and not self.filters):
-            return [_Split(path, n, 0, size, 0)]
+        whole = [_Split(path, n, 0, size, 0)]
+        if size <= self.o.split_bytes or not os.path.isfile(index):
+            return whole
+        cuts, buf = [], _buffer(index)
+        for i, pos, off in self._covering(path, buf) or ():
+            if not cuts or off >= cuts[-1][0] + self.o.split_bytes:
+                cuts.append((off, i, pos))
+        cuts.append((size, None, len(buf)))
+        return [_Split(path, n, a, b, i, (x, y)) for (a, i, x), (b, _, y) in zip(cuts, cuts[1:])] or whole
+
+    def _covering(self, path: str, buf) -> Iterator[tuple[int, int, int]] | None:
+        """(ordinal, position in the index, offset) of the entries of an index that lists ascending
+        offsets from the first record to the end of the last, else None. An index made after an
+        earlier one was lost starts late and must not hide the older rows."""
+        entries = lambda: ((pos, int(off)) for pos, _, off in codec.records(buf, self.o.key, "uint64", strict=True))
+        last = -1
         try:
-            entries = list(codec.index_entries(_buffer(index), self.o.key, strict=True))
-        except (ValueError, UnicodeDecodeError):
-            return [_Split(path, n, 0, size, 0)]
-        entries = sorted(((off, k) for k, off in entries), key=lambda e: e[0])
-        offsets = [e[0] for e in entries]
-        if not self._covers(path, offsets):
-            return [_Split(path, n, 0, size, 0)]
-        if self.filters:
-            hits = [(off, i) for i, (off, k) in enumerate(entries) if self._keeps(k)]
-            step = 100_000
-            return [_Split(path, n, 0, size, None, tuple(hits[i : i + step])) for i in range(0, len(hits), step)]
-        cuts = [0]
-        for at in range(self.o.split_bytes, size, self.o.split_bytes):
-            if (i := bisect.bisect_left(offsets, at)) < len(offsets) and i > cuts[-1]:
-                cuts.append(i)
-        ends = [offsets[i] for i in cuts[1:]] + [size]
-        return [_Split(path, n, offsets[i], end, i) for i, end in zip(cuts, ends, strict=True)]
-
-    def _covers(self, path: str, offsets: list[int]) -> bool:
-        """Whether the index lists distinct offsets from the first record to the last. An index
-        made after an earlier one was lost starts late and must not hide the older rows."""
-        if not offsets or offsets[0] or len(set(offsets)) != len(offsets):
-            return False
-        buf = _buffer(path)
-        try:
-            _, at = codec.decode_item(buf, offsets[-1], self.o.key)
-            _, at = codec.decode_item(buf, at, self.o.value)
-        except (codec.Truncated, UnicodeDecodeError):
-            return False
-        return at == len(buf)
+            for _, off in entries():
+                if off <= last or (last < 0 and off):
+                    return None
+                last = off
+            if last < 0:
+                return None
+            data = _buffer(path)
+            _, at = codec.decode_item(data, last, self.o.key)
+            _, at = codec.decode_item(data, at, self.o.value)
+        except (ValueError, codec.Truncated):
+            return None
+        return ((i, pos, off) for i, (pos, off) in enumerate(entries())) if at == len(data) else None
 
     def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
         if not split.path:
@@ -180,14 +177,26 @@ class Reader(DataSourceReader):
 
     def _data(self, split: _Split):
         o, buf = self.o, _buffer(split.path)
-        if split.offsets is not None:
-            for at, seq in split.offsets:
+        if self.filters and (hits := self._hits(split)) is not None:
+            for at, seq in hits:
                 for off, k, v in codec.records(buf, o.key, o.value, at, at + 1, o.strict):
                     yield k, v, split.path, off, seq, split.file_ord
             return
         for i, (off, k, v) in enumerate(codec.records(buf, o.key, o.value, split.start, split.end, o.strict)):
             yield k, v, split.path, off, split.seq + i, split.file_ord
 
+    def _hits(self, split: _Split) -> Iterator[tuple[int, int]] | None:
+        """(offset, seq) of the split's entries that pass the key predicates, one at a time; None
+        where no index covers the file."""
+        index = self.o.index_of(split.path)
+        if not os.path.isfile(index):
+            return None
+        buf = _buffer(index)
+        if split.entries is None and self._covering(split.path, buf) is None:
+            return None
+        start, end = split.entries or (0, len(buf))
+        return ((int(off), split.seq + i) for i, (_, k, off) in enumerate(codec.records(buf, self.o.key, "uint64", start, end)) if self._keeps(k))
+
 
 class PushingReader(Reader):
     """Key predicates are taken over completely: resolved in the index when it covers the file,
@@ -241,6 +250,8 @@ class Writer(DataSourceArrowWriter):
         self.o, self.overwrite = _Options({**options, "paths": ""} if options.get("layout") == "parts" else options), overwrite
         self.target = local(options["path"])
         self.run = uuid.uuid4().hex[:12]
+        append = self.o.layout == "single" and not overwrite and os.path.isfile(self.target)
+        self.base = os.path.getsize(self.target) if append else 0
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
@@ -249,7 +260,7 @@ class Writer(DataSourceArrowWriter):
         folder = self.target if self.o.layout == "parts" else os.path.dirname(self.target) or "."
         os.makedirs(folder, exist_ok=True)
         stem = f"{folder}/.{os.path.basename(self.target)}-{self.run}-{task:05d}-{uuid.uuid4().hex[:8]}"
-        offset = 0
+        offset = self.base
         with open(f"{stem}.data", "wb", buffering=self.o.buffer) as data, open(f"{stem}.idx", "wb", buffering=self.o.buffer) as index:
             for batch in iterator:
                 for key, value in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True):
@@ -288,8 +299,13 @@ class Writer(DataSourceArrowWriter):
             os.fsync(out.fileno())
         with open(index, mode) as out:
             for base, m in zip(bases, done, strict=True):
+                if base == self.base:  # the first task's, all of them as ``ops.save`` writes: offsets stand
+                    with open(m.index, "rb") as f:
+                        while block := f.read(BATCH_BYTES):
+                            out.write(block)
+                    continue
                 for key, offset in codec.index_entries(_buffer(m.index), self.o.key):
-                    out.write(codec.encode_item(key, self.o.key) + codec.encode_item(base + offset, "uint64"))
+                    out.write(codec.encode_item(key, self.o.key) + codec.encode_item(base - self.base + offset, "uint64"))
             out.flush()
             os.fsync(out.fileno())
         self.abort(done)

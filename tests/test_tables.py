@@ -118,6 +118,29 @@ def test_splits_and_truncation(spark, tmp_path):
     assert ops.read(spark, [str(tmp_path / "none")], missing="skip").count() == 0
 
 
+def test_large_files_are_searched_in_splits(spark, tmp_path):
+    rows = [(f"k{i % 7}", f"v{i}") for i in range(3000)]
+    p = make(tmp_path / "t", rows)
+    hit = ops.get(ops.read(spark, [p], splitBytes="2000"), "k3")
+    assert hit.rdd.getNumPartitions() > 5
+    assert [(r.value, r.seq) for r in hit.orderBy("seq").collect()] == [(f"v{i}", i) for i in range(3, 3000, 7)]
+
+
+def test_rebuilt_index(spark, tmp_path):
+    p = make(tmp_path / "t.sst", AF)
+    want = open(index_path(p), "rb").read()
+    os.remove(index_path(p))
+    ops.append(spark, [p], "g", "7")
+    assert len(open(index_path(p), "rb").read()) < len(want)
+    open(p, "ab").write(codec.encode_item("dangling", "string"))
+    ops.rebuild_index(spark, p)
+    assert open(index_path(p), "rb").read() == want + codec.encode_item("g", "string") + codec.encode_item(24, "uint64")
+    assert sorted(os.listdir(tmp_path)) == ["t.index.sst", "t.sst"]
+    u = make(tmp_path / "u", [(Decimal(5), b"x"), (Decimal(1), b"y")], "uint64", "binary", index=False)
+    ops.rebuild_index(spark, u, "uint64", "binary")
+    assert [int(r.key) for r in ops.read(spark, [u], mode="index", keyType="uint64").orderBy("ordinal").collect()] == [5, 1]
+
+
 def test_write_append_overwrite(spark, tmp_path):
     p = str(tmp_path / "w.sst")
     df = spark.createDataFrame([(k, v, i, 0) for i, (k, v) in enumerate(AF)], "key string, value string, offset bigint, file_ord int")
@@ -148,6 +171,11 @@ def test_commands(spark, tmp_path):
     assert run(spark, "export", ms[0], "-f", "json", "--compat")[1] == '{"a": "1"},\n{"b": "2"},\n'
     assert run(spark, "export", ms[0], "-f", "csv")[1] == "a,1\nb,2\n" and run(spark, "export", ms[0], "-f", "odd")[1] == "a: 1\nb: 2\n"
     assert run(spark, "dump", ms[0], ms[1], "--compat")[1].count("\n") == 2 and run(spark, "dump", ms[0], ms[1])[1].count("\n") == 4
+    assert run(spark, "get", ms[0], ms[1], "-k", "c", "--compat")[1] == ""  # the first index lacks the key
+    os.remove(index_path(ms[0]))
+    assert run(spark, "get", ms[0], ms[1], "-k", "c", "--compat")[1] == "c: 3\n" and run(spark, "get", ms[0], "-k", "a", "--compat")[1] == "1\n"
+    assert run(spark, "get", ms[0], "-k", "b", "-n", "0", "--compat")[1] == "" and run(spark, "get", ms[1], "-k", "c", "-n", "0", "--compat")[1] == "c: 3\n"
+    assert run(spark, "index", ms[0], "--rebuild")[1] == '"a": 0\n"b": 4\n'
     new = str(tmp_path / "new.sst")
     run(spark, "append", new, "-k", "k", "-d", "v")
     run(spark, "append", new, "-k", "k", "-d", "w")
@@ -161,6 +189,7 @@ def test_quoted_renderings(spark):
     df = spark.createDataFrame([('a"b', "x,y\n", 0, 0)], "key string, value string, offset bigint, file_ord int")
     assert render.lines(df, "json").first().line == '{"a\\"b":"x,y\\n"}'
     assert render.lines(df, "csv").first().line.startswith('"a""b",')
+    assert render.lines(df.withColumn("value", F.lit("  x ")), "csv").first().line == '"a""b",  x '
     assert render.lines(df, "tsv").first().line == 'a"b\tx,y\n'
 
 
