@@ -2,6 +2,7 @@ import hashlib
 import io
 import math
 import struct
+from collections import Counter
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -10,8 +11,9 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keyloom.llm import ann, topk, urlfilter, warc
-from llm_help import SF, brute_components, uneven_copies
+from keyloom.llm import ann, mixing, topk, urlfilter, warc
+from keyloom.llm.common import store
+from llm_help import SF, brute_components, spec_words, uneven_copies
 
 VEC = "vec_id bigint, embedding array<float>, rank int"
 
@@ -167,3 +169,43 @@ def test_pipeline(spark):
     assert seen[0] > seen[1] > seen[2] == seen[3]
     rows = corpus_pipeline.run(spark, SF).collect()
     assert sum(r.length for r in rows) > 0 and {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_on_odd_rows(spark, odd_docs, tmp_path):
+    """Nulls, empty and very long texts, copies, repeated rows and an extra column, stage by stage against
+    brute force; and tables without rows."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    passage, own = " ".join(f"p{i}" for i in range(60)), [" ".join(f"{s}{i}" for i in range(100)) for s in "xy"]
+    docs = odd_docs.union(spark.createDataFrame([(11, f"{own[0]} {passage} {own[1]}", "en", "a", 9, "x"), (11, own[0], "en", "a", 9, "x")], odd_docs.schema))
+    folder, bare = f"file://{tmp_path}/odd", f"file://{tmp_path}/bare"
+    labels = spark.createDataFrame([(None, 1, 0), (1, None, None)], "doc_id bigint, quality int, toxic int")
+    for f, d, l in ((folder, docs, labels), (bare, docs.limit(0), labels.limit(0))):
+        d.write.parquet(f"{f}/documents.parquet")
+        l.write.parquet(f"{f}/labels.parquet")
+    at, given = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    rows = lambda df: sorted(map(str, df.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        given[name], at = at, store(stage(spark, at, folder), name)
+    assert rows(given["near_duplicates"]) == rows(docs)  # labels without evidence reject nothing
+    left = given["substrings"].collect()
+    every = brute_components([((r.doc_id, r.text), r.text) for r in docs.where("doc_id is not null").collect()], 5)
+    assert Counter(r.doc_id for r in left if spec_words(r.text)) == Counter(i for (i, t), (_, c) in every.items() if (i, t) == c and spec_words(t)) + Counter([None])
+    assert {r.doc_id for r in left if not spec_words(r.text)} == {3, 4, 5}
+    words_of = lambda df: Counter((r.doc_id, tuple(spec_words(r.text))) for r in df.collect())
+    want = Counter((r.doc_id, tuple(spec_words(r.text.replace(passage, "") if r.doc_id == 11 else r.text))) for r in left)
+    assert words_of(given["mixing"]) == want
+    taken, mixed = Counter(), given["packing"].collect()
+    for r in mixing.allot(given["mixing"]).collect():
+        taken[r.doc_id] += r.taken
+    got = Counter()
+    for r in mixed:
+        ws = tuple(spec_words(r.text))
+        assert any(ws == w[: len(ws)] for i, w in want if i == r.doc_id)
+        got[r.doc_id] += len(ws)
+    assert got == +taken
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert Counter(r.doc_id for r in mixed).keys() == {r.doc_id for r in at.collect()}
+    assert sum(r.length for r in at.collect()) == sum(len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed)
+    assert corpus_pipeline.run(spark, bare).count() == 0
