@@ -2,12 +2,15 @@
 
 A shard's distinct vectors are the graph's nodes (copies are listed on their node, so that a
 common vector cannot fill every neighbour list). Levels are drawn from a hash of the id with the
-usual geometric law. Nodes are inserted in a hashed order: on each level a node's candidates are
-the nearest of those inserted before it, found exactly; the neighbour heuristic keeps one only if
-it is nearer to the node than to every neighbour kept before, fills the list with the nearest left
-out, and links go both ways as far as the other side has room, nearest predecessors first. Neighbours are stored as flat
-arrays, -1 where a list is short. A search goes down the levels greedily and ends with a beam on
-the bottom level; all queries of a block advance together. Shard results are merged by score.
+usual geometric law. Nodes are inserted in a hashed order, in batches that grow with the graph up to
+``BATCH`` nodes: a node goes down greedily to its own level and from there on searches each level
+with a beam, as a query does; its candidates are what the beam holds and the nodes of its batch
+before it, so that building costs a search a node and never compares all pairs of a shard. The
+neighbour heuristic keeps a candidate only if it is nearer to the node than to every neighbour kept
+before, and fills the list with the nearest left out. Links go both ways; a list that overflows is
+chosen anew in the same way. Neighbours are stored as flat arrays, -1 where a list is short. A search
+goes down the levels greedily and ends with a beam on the bottom level; all queries of a block
+advance together. Shard results are merged by score.
 
 Vectors that are null, zero or hold null or non-finite components take no part; neither do rows
 without an id. A query's own id is never a candidate. Ties go to the smaller id among those found.
@@ -25,7 +28,7 @@ from keyloom.llm.common import mix64
 from keyloom.llm.shards import prepare, search
 
 SHARD, BLOCK = 4096, 512
-LINKS, BEAM = 16, 128
+LINKS, BEAM, BUILD_BEAM, BATCH = 16, 128, 64, 256
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -56,68 +59,100 @@ class Graph:
         self.members, self.starts = ids[by_node], np.searchsorted(node[by_node], np.arange(len(first) + 1))
         u = (mix64(drawn[turn] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(11)).astype(float) / float(1 << 53)
         level = np.floor(-np.log(np.maximum(u, 1e-9)) / np.log(links)).astype(int)
-        self.layers = []  # (nodes of the level, flat neighbour array over all nodes or -1)
-        for at in range(int(level.max(initial=0)), -1, -1):
-            nodes = np.nonzero(level >= at)[0]
-            if len(nodes):
-                self.layers.append(self._connect(nodes, 2 * links if at == 0 else links))
         self.entry = int(np.argmax(level)) if len(first) else -1
-
-    def _connect(self, nodes: np.ndarray, most: int) -> np.ndarray:
-        u, n = self.unit[nodes], len(nodes)
-        flat = np.full((len(self.unit), most), -1, np.int32)
-        wide = min(n - 1, 2 * most)
-        if wide < 1:
-            return flat
-        chosen = np.full((n, most), -1, np.int64)
-        for a in range(0, n, 512):
-            b = min(n, a + 512)
-            sim = u[a:b] @ u.T
-            sim[np.arange(n)[None, :] >= np.arange(a, b)[:, None]] = -2  # only what was inserted before
-            cand = np.argpartition(-sim, wide - 1, axis=1)[:, :wide]
-            rank = np.argsort(-np.take_along_axis(sim, cand, 1), axis=1, kind="stable")
-            cand = np.take_along_axis(cand, rank, 1)
-            near = np.take_along_axis(sim, cand, 1)
-            among = np.einsum("bid,bjd->bij", u[cand], u[cand])
-            kept = np.zeros((b - a, wide), bool)
+        self._build(level, links)
+
+    def _build(self, level: np.ndarray, links: int) -> None:
+        n, top = len(self.unit), int(level.max(initial=0))
+        #: from the top level to the bottom one: flat neighbour array over all nodes, or -1
+        self.layers = [np.full((n, links if at else 2 * links), -1, np.int32) for at in range(top, -1, -1)]
+        a = 0
+        while a < n:
+            b = min(n, a + max(1, min(BATCH, a // 2)))
+            self._insert(np.arange(a, b), level, links)
+            a = b
+
+    def _insert(self, new: np.ndarray, level: np.ndarray, links: int) -> None:
+        """Links nodes to those inserted before, the first of them, and to each other."""
+        old, u = int(new[0]), self.unit[new]
+        start = int(np.argmax(level[:old])) if old else -1  # a node of the highest level so far
+        here = np.full((len(new), 1), start)
+        sims = np.full((len(new), 1), -2.0) if start < 0 else (u @ self.unit[start])[:, None]
+        among = u @ u.T
+        among[np.arange(len(new))[None, :] >= np.arange(len(new))[:, None]] = -2  # only those of the batch before
+        for layer, at in zip(self.layers, range(len(self.layers) - 1, -1, -1), strict=True):
+            if start >= 0 and at <= level[start]:
+                passing, rows = np.flatnonzero(level[new] < at), np.flatnonzero(level[new] >= at)
+                here[passing, 0], sims[passing, 0] = self._descend(layer, u[passing], here[passing, 0], sims[passing, 0])
+                found, near = self._beam(layer, u[rows], here[rows], sims[rows], BUILD_BEAM)
+                wide = max(here.shape[1], found.shape[1])
+                here, sims = (np.pad(x, ((0, 0), (0, wide - x.shape[1])), constant_values=v) for x, v in ((here, -1), (sims, -2.0)))
+                here[rows], sims[rows] = found, near
+            rows = np.flatnonzero(level[new] >= at)
+            if not len(rows):
+                continue
+            cand = np.concatenate([here[rows], np.broadcast_to(new[rows], (len(rows), len(rows)))], 1)
+            near = np.concatenate([sims[rows], among[np.ix_(rows, rows)]], 1)
+            chosen = self._choose(np.where(near > -2, cand, -1), near, links)
+            layer[new[rows], : chosen.shape[1]] = chosen
+            self._link_back(layer, new[rows], chosen)
+
+    def _choose(self, cand: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+        """Up to ``most`` neighbours a row out of candidates (-1 for none) with similarities ``near``."""
+        order = np.argsort(np.where(cand >= 0, -near, 3), axis=1, kind="stable")[:, : 4 * most]
+        cand, near = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1)
+        real, wide = cand >= 0, cand.shape[1]
+        kept = np.zeros(cand.shape, bool)
+        for a in range(0, len(cand), 64):
+            part = slice(a, a + 64)
+            v = self.unit[cand[part]]
+            among = v @ v.transpose(0, 2, 1)
             for j in range(wide):  # nearer to the node than to every neighbour kept so far
-                kept[:, j] = (np.where(kept, among[:, :, j], -2).max(1) < near[:, j]) & (kept.sum(1) < most // 2) & (near[:, j] > -2)
-            order = np.argsort(~kept, axis=1, kind="stable")[:, :most]
-            chosen[a:b, : order.shape[1]] = np.where(np.take_along_axis(near, order, 1) > -2, np.take_along_axis(cand, order, 1), -1)
-        half = max(1, most // 2)
-        out = chosen[:, :half]  # the other half is left for links from the other side
-        src = np.repeat(np.arange(n), half)
-        dst = out.ravel()
-        ok = dst >= 0
-        src, dst, rank = src[ok], dst[ok], np.tile(np.arange(half), n)[ok]
-        back = np.lexsort((src, rank, dst))  # a node's nearest predecessor links back to it first
-        place = np.arange(len(back)) - np.searchsorted(dst[back], dst[back])
-        fits = place < most - half
-        table = np.full((n, most), -1, np.int64)
-        table[:, :half] = out
-        table[dst[back][fits], half + place[fits]] = src[back][fits]
-        flat[nodes] = np.where(table >= 0, nodes[np.maximum(table, 0)], -1)
-        return flat
-
-    def find(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, similarities) per row of unit vectors q, best first, -1 where fewer."""
-        m, n = len(q), len(self.unit)
-        here = np.full(m, self.entry)
-        sim = (self.unit[here] * q).sum(1)
-        for layer in self.layers[:-1]:
-            moving = np.arange(m)
-            while len(moving):
-                near = layer[here[moving]]
-                s = np.where(near >= 0, np.einsum("qkd,qd->qk", self.unit[near], q[moving]), -2)
-                top = s.argmax(1)
-                better = s[np.arange(len(moving)), top] > sim[moving]
-                moving, top, near, s = moving[better], top[better], near[better], s[better]
-                here[moving], sim[moving] = near[np.arange(len(moving)), top], s[np.arange(len(moving)), top]
-        seen = np.zeros((m, n), bool)
+                kept[part, j] = real[part, j] & (np.where(kept[part], among[:, :, j], -2).max(1) < near[part, j]) & (kept[part].sum(1) < most)
+        order = np.argsort(np.where(kept, 0, np.where(real, 1, 2)), axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(cand, order, 1)
+
+    def _link_back(self, layer: np.ndarray, src: np.ndarray, chosen: np.ndarray) -> None:
+        most = layer.shape[1]
+        ok = chosen >= 0
+        src, dst = np.repeat(src, chosen.shape[1])[ok.ravel()], chosen[ok]
+        if not len(dst):
+            return
+        order = np.lexsort((src, dst))
+        src, dst = src[order], dst[order]
+        to, first, many = np.unique(dst, return_index=True, return_counts=True)
+        table = np.full((len(to), most + int(many.max())), -1)
+        table[:, :most] = layer[to]
+        table[np.repeat(np.arange(len(to)), many), most + np.arange(len(dst)) - np.repeat(first, many)] = src
+        over = (table >= 0).sum(1) > most
+        fits = np.take_along_axis(table, np.argsort(table < 0, axis=1, kind="stable")[:, :most], 1)
+        layer[to[~over]] = fits[~over]
+        for a in range(0, int(over.sum()), 64):
+            at = np.flatnonzero(over)[a : a + 64]
+            near = np.einsum("qkd,qd->qk", self.unit[table[at]], self.unit[to[at]])
+            layer[to[at]] = self._choose(table[at], near, most)
+
+    def _descend(self, layer: np.ndarray, q: np.ndarray, here: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy steps of each row of q on one level, until no neighbour is nearer."""
+        here, sim = here.copy(), sim.copy()
+        moving = np.arange(len(q))
+        while len(moving):
+            near = layer[here[moving]]
+            s = np.where(near >= 0, np.einsum("qkd,qd->qk", self.unit[near], q[moving]), -2)
+            top = s.argmax(1)
+            better = s[np.arange(len(moving)), top] > sim[moving]
+            moving, top, near, s = moving[better], top[better], near[better], s[better]
+            here[moving], sim[moving] = near[np.arange(len(moving)), top], s[np.arange(len(moving)), top]
+        return here, sim
+
+    def _beam(self, layer: np.ndarray, q: np.ndarray, here: np.ndarray, sim: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, similarities) per row of q, best first, -1 where fewer, from different nodes ``here``."""
+        m, wide = len(q), min(beam, here.shape[1])
+        seen = np.zeros((m, len(self.unit)), bool)
         nodes, sims, done = np.full((m, beam), -1), np.full((m, beam), -2.0), np.ones((m, beam), bool)
-        nodes[:, 0], sims[:, 0], done[:, 0] = here, sim, False
-        seen[np.arange(m), here] = True
-        bottom, rows = self.layers[-1], np.arange(m)
+        nodes[:, :wide], sims[:, :wide], done[:, :wide] = here[:, :wide], sim[:, :wide], here[:, :wide] < 0
+        seen[np.arange(m)[:, None], np.where(here < 0, here[:, :1], here)] = True
+        rows = np.arange(m)
         while len(rows):
             pick = np.where(done[rows], -3, sims[rows]).argmax(1)
             live = ~done[rows, pick]
@@ -125,7 +160,7 @@ class Graph:
             if not len(rows):
                 break
             done[rows, pick] = True
-            near = bottom[nodes[rows, pick]]
+            near = layer[nodes[rows, pick]]
             fresh = (near >= 0) & ~seen[rows[:, None], near]
             seen[rows[:, None], np.where(near >= 0, near, nodes[rows, pick][:, None])] = True
             s = np.where(fresh, np.einsum("qkd,qd->qk", self.unit[near], q[rows]), -2.0)
@@ -137,6 +172,14 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(nodes, order, 1), np.take_along_axis(sims, order, 1)
 
+    def find(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, similarities) per row of unit vectors q, best first, -1 where fewer."""
+        here = np.full(len(q), self.entry)
+        sim = q @ self.unit[self.entry]
+        for layer in self.layers[:-1]:
+            here, sim = self._descend(layer, q, here, sim)
+        return self._beam(self.layers[-1], q, here[:, None], sim[:, None], beam)
+
 
 def _run(k: int, beam: int):
     def run(g: Graph, block: tuple) -> dict:

@@ -94,6 +94,48 @@ def test_recall(spark):
     assert hit / (5 * (ids % 50 == 0).sum()) >= 0.95
 
 
+@pytest.mark.parametrize("spread", [0.05, 0.3, 1.0, None])
+def test_graphs_of_clusters(spread):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3000, 24))
+    if spread is not None:
+        v = (rng.normal(size=(30, 24)) * 4)[rng.integers(0, 30, 3000)] + v * spread
+    g = ann.Graph(np.arange(3000), np.concatenate([v[:2990], v[:10]]))
+    assert len(g.unit) == 2990  # copies are one node
+    for layer in g.layers:  # no list names a node twice, or its own
+        for i, x in enumerate(layer):
+            x = x[x >= 0]
+            assert len(set(x)) == len(x) and i not in x
+    q = g.unit[::7]
+    found, near = g.find(q, ann.BEAM)
+    exact = -np.sort(-(q @ g.unit.T), axis=1)[:, :6]
+    assert (near[:, :6] >= exact - 1e-9).mean() >= 0.95
+    assert np.allclose(near, np.where(found >= 0, np.einsum("qkd,qd->qk", g.unit[found], q), -2))
+
+
+def test_a_node_is_searched_once_a_level(monkeypatch):
+    compared, beam = [], ann.Graph._beam
+
+    def counted(self, layer, q, here, sim, width):
+        out = beam(self, layer, q, here, sim, width)
+        compared.append(len(q))
+        return out
+
+    monkeypatch.setattr(ann.Graph, "_beam", counted)
+    g = ann.Graph(np.arange(2000), np.random.default_rng(3).normal(size=(2000, 8)))
+    levels = sum(int((layer >= 0).any(1).sum()) for layer in g.layers)
+    assert 1900 <= sum(compared) <= levels  # one search a node and level
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+def test_small_graphs(n):
+    g = ann.Graph(np.arange(n), np.eye(4)[:n])
+    assert len(g.unit) == n
+    if n:
+        found, _ = g.find(np.eye(4)[:n], 8)
+        assert [sorted(x[x >= 0]) for x in found] == [list(range(n))] * n
+
+
 # URL filters
 
 
