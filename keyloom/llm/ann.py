@@ -29,6 +29,8 @@ from keyloom.llm.shards import prepare, search
 
 SHARD, BLOCK = 4096, 512
 LINKS, BEAM, BUILD_BEAM, BATCH = 16, 128, 64, 256
+#: A beam opens so many of its nodes at a time.
+AHEAD = 8
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -153,17 +155,24 @@ class Graph:
         nodes[:, :wide], sims[:, :wide], done[:, :wide] = here[:, :wide], sim[:, :wide], here[:, :wide] < 0
         seen[np.arange(m)[:, None], np.where(here < 0, here[:, :1], here)] = True
         rows = np.arange(m)
-        while len(rows):
-            pick = np.where(done[rows], -3, sims[rows]).argmax(1)
-            live = ~done[rows, pick]
-            rows, pick = rows[live], pick[live]
+        while True:
+            waiting = np.where(done[rows], -3.0, sims[rows])
+            rows, waiting = (x[waiting.max(1, initial=-3) > -3] for x in (rows, waiting))
             if not len(rows):
                 break
-            done[rows, pick] = True
-            near = layer[nodes[rows, pick]]
-            fresh = (near >= 0) & ~seen[rows[:, None], near]
-            seen[rows[:, None], np.where(near >= 0, near, nodes[rows, pick][:, None])] = True
-            s = np.where(fresh, np.einsum("qkd,qd->qk", self.unit[near], q[rows]), -2.0)
+            at = rows[:, None]
+            pick = np.argpartition(-waiting, AHEAD - 1, axis=1)[:, :AHEAD] if beam > AHEAD else np.broadcast_to(np.arange(beam), (len(rows), beam))
+            open_ = ~done[at, pick]
+            done[at, pick] = True
+            near = np.where(open_[:, :, None], layer[nodes[at, pick]], -1).reshape(len(rows), -1)
+            near.sort(axis=1)
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1  # neighbours that the nodes opened have in common
+            fresh = (near >= 0) & ~seen[at, near]
+            wide = max(1, int(fresh.sum(1).max()))
+            order = np.argsort(~fresh, axis=1, kind="stable")[:, :wide]
+            near, fresh = np.take_along_axis(near, order, 1), np.take_along_axis(fresh, order, 1)
+            seen[np.repeat(rows, fresh.sum(1)), near[fresh]] = True
+            s = np.where(fresh, (self.unit[near] @ q[rows][:, :, None])[:, :, 0], -2.0)
             allsims = np.concatenate([sims[rows], s], 1)
             order = np.argpartition(-allsims, beam - 1, axis=1)[:, :beam]
             sims[rows] = np.take_along_axis(allsims, order, 1)
