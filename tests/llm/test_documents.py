@@ -412,6 +412,33 @@ def test_packing_round_trip(spark, docs, odd_docs):
         assert packing.pack(df.limit(0)).count() == 0
 
 
+def _odd_texts(rng: np.random.Generator, number: int) -> list[str]:
+    """Texts of random code points of several scripts, spaces, digits, marks and controls."""
+    ranges = [(0x20, 0x7F), (0x00, 0x20), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0xE00), (0x2000, 0x2070), (0x3000, 0x3100), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFB00, 0xFFFD), (0x1F300, 0x1FAFF), (0x20000, 0x20100), (0xE0000, 0x10FFFF)]
+    pools = [np.arange(a, b) for a, b in ranges]
+    common = np.array([ord(x) for x in "  \n\t\r'sdmtlrve0123456789.,-_ABCxyz\u00a0\u2028\u3000\u0085"])
+    out = []
+    for _ in range(number):
+        chosen = [pools[i] for i in rng.integers(0, len(pools), 2)] + [common]
+        points = np.concatenate([rng.choice(c, rng.integers(0, 14)) for c in chosen])
+        out.append("".join(map(chr, rng.permutation(points))))
+    return out
+
+
+def test_ids_are_those_of_the_json_file():
+    from tokenizers import Tokenizer
+
+    paths = packing.default_tokenizer()
+    ours, theirs = packing.encoder(paths), Tokenizer.from_file(paths[0])
+    rng = np.random.default_rng(11)
+    texts = _odd_texts(rng, 20_000)
+    texts += [c * n for c in ("a", " ", "\n", "0", "ab", "\u3042", "\U0001f600", "-", " \n") for n in (1, 2, 3, 1_000, 50_000)]
+    texts += ["", "<|endoftext|>", "a<|endoftext|> b", "<|endoftext|", "I'll we've 'S 'LL ''s", "\ud7ff\ue000\ufffd"]
+    texts.append("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60_000)))
+    for text in texts:
+        assert ours(text).tolist() == theirs.encode(text, add_special_tokens=False).ids, ascii(text[:100])
+
+
 def test_packing_is_tight(spark):
     rows = packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).agg(F.sum("length"), F.countDistinct("sequence_id")).first()
     assert rows[1] * 2048 / rows[0] < 1.01
