@@ -75,22 +75,50 @@ def decode_item(buf, pos: int, kind: str) -> tuple[object, int]:
 def records(buf, key_type: str, value_type: str, start: int = 0, end: int | None = None, strict: bool = False) -> Iterator[tuple[int, object, object]]:
     """(offset, key, value) of the records that start in [start, end). A truncated last record
     ends the iteration silently unless ``strict``."""
-    pos, stop = start, len(buf) if end is None else end
+    for pos, key, value in _records(buf, key_type, value_type, start, end, strict):
+        yield pos, Decimal(key) if key_type == "uint64" else key, Decimal(value) if value_type == "uint64" else value
+
+
+def entries(buf, key_type: str, start: int = 0, end: int | None = None, strict: bool = False) -> Iterator[tuple[int, object, int]]:
+    """(position in the index, key, offset) of index entries that start in [start, end); as
+    ``records``, but numbers are plain integers."""
+    return _records(buf, key_type, "uint64", start, end, strict)  # type: ignore[return-value]
+
+
+def _records(buf, key_type: str, value_type: str, start: int, end: int | None, strict: bool) -> Iterator[tuple[int, object, object]]:
+    pos, size = start, len(buf)
+    stop, widths, kinds = size if end is None else end, [WIDTHS.get(i, 0) for i in range(32)], (key_type, value_type)
     while pos < stop:
-        try:
-            key, at = decode_item(buf, pos, key_type)
-            value, at = decode_item(buf, at, value_type)
-        except Truncated:
+        at, items = pos, []
+        for kind in kinds:  # decode_item, without calls
+            if at >= size:
+                break
+            n = buf[at] & INFO_MASK
+            at += 1
+            if width := widths[n]:
+                if at + width > size:
+                    break
+                n = int.from_bytes(buf[at : at + width], "big")
+                at += width
+            if kind == "uint64":
+                items.append(n)
+                continue
+            if at + n > size:
+                break
+            raw = buf[at : at + n]
+            items.append(str(raw, "utf-8") if kind == "string" else bytes(raw))
+            at += n
+        if len(items) < 2:
             if strict:
-                raise ValueError(f"truncated record at offset {pos}") from None
+                raise ValueError(f"truncated record at offset {pos}")
             return
-        yield pos, key, value
+        yield pos, items[0], items[1]
         pos = at
 
 
 def index_entries(buf, key_type: str, strict: bool = False) -> Iterator[tuple[object, int]]:
-    for _, key, offset in records(buf, key_type, "uint64", strict=strict):
-        yield key, int(offset)  # type: ignore[call-overload]
+    for _, key, offset in entries(buf, key_type, strict=strict):
+        yield key, offset
 
 
 def canonical_key(value: object, kind: str) -> tuple[int, bytes]:

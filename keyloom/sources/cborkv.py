@@ -114,9 +114,11 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.o, self.filters = _Options(options), []
 
-    def _keeps(self, key) -> bool:
+    def _keeps(self):
+        """The key predicates as one function."""
         # byte order of UTF-8 is code point order, which is how Python compares str
-        return all(_test(f)(key) for f in self.filters)
+        tests = [_test(f) for f in self.filters]
+        return tests[0] if len(tests) == 1 else lambda key: all(t(key) for t in tests)
 
     def partitions(self) -> list[_Split]:
         out = []
@@ -148,10 +150,9 @@ class Reader(DataSourceReader):
         """(ordinal, position in the index, offset) of the entries of an index that lists ascending
         offsets from the first record to the end of the last, else None. An index made after an
         earlier one was lost starts late and must not hide the older rows."""
-        entries = lambda: ((pos, int(off)) for pos, _, off in codec.records(buf, self.o.key, "uint64", strict=True))
         last = -1
         try:
-            for _, off in entries():
+            for _, _, off in codec.entries(buf, self.o.key, strict=True):
                 if off <= last or (last < 0 and off):
                     return None
                 last = off
@@ -162,7 +163,7 @@ class Reader(DataSourceReader):
             _, at = codec.decode_item(data, at, self.o.value)
         except (ValueError, codec.Truncated):
             return None
-        return ((i, pos, off) for i, (pos, off) in enumerate(entries())) if at == len(data) else None
+        return ((i, pos, off) for i, (pos, _, off) in enumerate(codec.entries(buf, self.o.key))) if at == len(data) else None
 
     def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
         if not split.path:
@@ -173,7 +174,8 @@ class Reader(DataSourceReader):
             schema = index_schema(o.key)
         else:
             rows, schema = self._data(split), data_schema(o.key, o.value)
-        yield from _batches((r for r in rows if not self.filters or self._keeps(r[0])), schema)
+        keeps = self._keeps()
+        yield from _batches((r for r in rows if keeps(r[0])) if self.filters else rows, schema)
 
     def _data(self, split: _Split):
         o, buf = self.o, _buffer(split.path)
@@ -195,7 +197,8 @@ class Reader(DataSourceReader):
         if split.entries is None and self._covering(split.path, buf) is None:
             return None
         start, end = split.entries or (0, len(buf))
-        return ((int(off), split.seq + i) for i, (_, k, off) in enumerate(codec.records(buf, self.o.key, "uint64", start, end)) if self._keeps(k))
+        keeps = self._keeps()
+        return ((off, split.seq + i) for i, (_, k, off) in enumerate(codec.entries(buf, self.o.key, start, end)) if keeps(k))
 
 
 class PushingReader(Reader):

@@ -64,3 +64,26 @@ def test_expressions_agree(spark):
     assert all(r["s"] == r["d"] for r in back.collect())
     assert spark.sql("SELECT unhex('4441') AS b").select(exprs.hex_list(F.col("b")).alias("h")).first()["h"] == "[44, 41]"
     assert spark.createDataFrame([('a"\\\n\x01é',)], "s string").select(exprs.debug_quoted(F.col("s")).alias("q")).first()["q"] == '"a\\"\\\\\\n\\u{1}é"'
+
+
+@pytest.mark.parametrize("key_type,value_type", [("string", "uint64"), ("uint64", "binary"), ("binary", "string")])
+def test_records_equal_items_read_one_by_one(key_type, value_type):
+    sample = {"string": ["", "a", "\u00e9\u3042" * 40, "x" * 70_000], "binary": [b"", b"\xff" * 24, bytes(300)], "uint64": [0, 23, 24, 255, 256, 65_536, (1 << 32), (1 << 64) - 1]}
+    rows = [(k, v) for k in sample[key_type] for v in sample[value_type]]
+    parts = [codec.encode_item(k, key_type) + codec.encode_item(v, value_type) for k, v in rows]
+    buf = b"".join(parts)
+    got = list(codec.records(buf, key_type, value_type, strict=True))
+    assert [(k, v) for _, k, v in got] == rows
+    at = 0
+    for offset, key, value in got:
+        assert offset == at and (codec.decode_item(buf, at, key_type)[0], type(key)) == (key, type(codec.decode_item(buf, at, key_type)[0]))
+        at = codec.decode_item(buf, codec.decode_item(buf, at, key_type)[1], value_type)[1]
+    assert at == len(buf)
+    last = len(buf) - len(parts[-1])
+    for cut in {last + 1, len(buf) - 1} - {len(buf)}:
+        if last < cut:
+            assert [o for o, _, _ in codec.records(buf[:cut], key_type, value_type)] == [o for o, _, _ in got[:-1]]
+            with pytest.raises(ValueError):
+                list(codec.records(buf[:cut], key_type, value_type, strict=True))
+    if value_type == "uint64":
+        assert list(codec.entries(buf, key_type)) == [(o, k, int(v)) for o, k, v in got]
