@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -382,6 +383,88 @@ def test_seating():
     assert abs((t[c == 2] == 2).mean() - second / (second + 0.5)) < 0.01 and new > 0
 
 
+def _all_seatings(grams: dict, p: list, vocabulary: int) -> dict:
+    """Mean predictive probability of each sequence (nearest context word first) by all seatings of the whole hierarchy."""
+    tables = [np.exp(pitman_yor.stirling(d)[:20, :20]) for d, _ in p]
+    place = lambda g: [(*g[:k], g[-1]) for k in range(len(g))]  # noqa: E731  (word), (nearest, word), ...
+    rising = lambda a, b, n: math.prod(a + b * i for i in range(n))
+    sums, total = dict.fromkeys(grams, 0.0), 0.0
+
+    def descend(k, counts, seated, weight):
+        nonlocal total
+        if k < 0:
+            prob = {(): 1 / (vocabulary + 1)}
+            for j, (d, theta) in enumerate(p):
+                cs, ts = seated[j]
+                for g in grams:
+                    x = place(g)[j]
+                    room = [y for y in cs if y[:-1] == x[:-1]]
+                    up = prob[place(g)[j - 1]] if j else prob[()]
+                    prob[x] = (max(cs.get(x, 0) - d * ts.get(x, 0), 0) + (theta + d * sum(ts[y] for y in room)) * up) / (theta + sum(cs[y] for y in room))
+            total += weight
+            for g in grams:
+                sums[g] += weight * prob[g]
+            return
+        d, theta = p[k]
+        for t in itertools.product(*(range(1, c + 1) for c in counts.values())):
+            ts, w, above = dict(zip(counts, t, strict=True)), weight, Counter()
+            for x, c in counts.items():
+                w *= tables[k][c, ts[x]]
+                above[(*x[:-2], x[-1])] += ts[x]
+            for room in {x[:-1] for x in counts}:
+                inside = [x for x in counts if x[:-1] == room]
+                w *= rising(theta, d, sum(ts[x] for x in inside)) / rising(theta, 1, sum(counts[x] for x in inside))
+            descend(k - 1, above, {**seated, k: (counts, ts)}, w * (vocabulary + 1.0) ** -sum(t) if k == 0 else w)
+
+    descend(len(p) - 1, {g: c for g, c in grams.items() if c}, {}, 1.0)
+    return {g: s / total for g, s in sums.items()}
+
+
+@pytest.mark.parametrize(
+    "grams",
+    [
+        {(0, 1, 2): 3, (0, 2, 2): 2, (0, 1, 3): 2, (1, 0, 2): 2, (0, 1, 1): 0, (3, 3, 3): 0},
+        {(0, 2): 4, (0, 3): 2, (1, 2): 3, (1, 1): 0},
+    ],
+)
+def test_hierarchy_against_enumeration(grams):
+    """Sweeps over all levels, with the restaurant of all words between them, sample the joint posterior."""
+    order, vocabulary, p = len(next(iter(grams))), 3, [(0.5, 2.0), (0.6, 1.5), (0.7, 1.0)]
+    p = p[:order]
+    want = _all_seatings(grams, p, vocabulary)
+    columns = [np.array([g[i] for g in sorted(grams)]) for i in range(order)]
+    r = pitman_yor.Restaurants([(pitman_yor._ints(np.arange(4), rising=True), [pitman_yor._ints(x) for x in columns], pitman_yor._ints(np.array([grams[g] for g in sorted(grams)])), pitman_yor._ints(np.zeros(0, np.int64)))])
+    rng, mean, rounds = np.random.default_rng(1), 0.0, 3000
+    for i in range(rounds):
+        live, t = np.flatnonzero(r.own), np.zeros(4, np.int64)
+        t[live] = pitman_yor.gibbs(np.zeros(len(live), int), r.own[live], np.full(len(live), 1 / (vocabulary + 1)), 1, np.ones(1), *p[0], i, 2, 1)
+        r.take((r.own.copy(), t, np.zeros((2, 0), np.int64)), (int(r.own.sum()), int(t.sum())))
+        r.sweep(p, vocabulary, rng)
+        r.take((r.own.copy(), np.minimum(t, r.own), np.zeros((2, 0), np.int64)), (int(r.own.sum()), int(t.sum())))
+        mean = mean + r.probabilities(p, vocabulary, order - 1)
+    got = dict(zip(sorted(grams), mean[r.asked[0]] / rounds, strict=True))
+    assert all(math.isclose(got[g], want[g], rel_tol=0.05) for g in grams), (got, want)
+
+
+def test_words_two_back_matter(spark, tmp_path):
+    """The query's contexts are longer than one word: after "x", only the word before it tells c from d."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = [(i, "a x c" if n % 2 else "b x d") for n, i in enumerate(ids[:200])] + list(zip(held, ("a x c", "a x d", "b x d", "b x c"), strict=True))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op6_pitman_yor(spark, str(tmp_path)).collect()}
+    assert got[held[0]] > got[held[1]] + 1 and got[held[2]] > got[held[3]] + 1
+
+
+def test_split_contexts_of_two_words(spark):
+    """Parts of a split context tell each other their customers: with many small chunks and buckets as with one."""
+    rng = np.random.default_rng(0)
+    texts = [(i, " ".join(f"c{j % 7}" if k % 2 else f"n{j}" for k, j in enumerate(rng.integers(0, 60, 300).tolist()))) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    one, many = ({r.doc_id: (r.n_known, r.base_score, r.score) for r in pitman_yor.score(df, order=3, **kw).collect()} for kw in ({}, {"chunk": 2000, "bucket": 400}))
+    assert all(one[i][0] == many[i][0] and math.isclose(one[i][1], many[i][1]) and abs(one[i][2] - many[i][2]) < 0.02 * abs(one[i][2]) for i in one)
+
+
 # packing
 
 
