@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import hash_words, mix64, scratch_path, store, words
+from keyloom.llm.common import hash_words, mix64, remove, scratch_path, store, words
 
 CHUNK, BUCKET, EXACT, SWEEPS, BURN = 1 << 21, 1 << 21, 1024, 6, 2
 ROUNDS, INNER, KEPT, BATCHES = 3, 2, 4, 4
@@ -64,12 +64,12 @@ def _ints(x: np.ndarray, rising: bool = False) -> tuple:
     """Integers from 0 on in the fewest bytes each; rising ones by their steps."""
     x = np.diff(x, prepend=x.dtype.type(0)) if rising else x
     kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
-    return rising, kind.char, _pack(x.astype(kind))
+    return rising, kind.char, _pack(x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)  # high bytes together
 
 
 def _numbers(packed: tuple) -> np.ndarray:
     rising, kind, raw = packed
-    x = _unpack(raw, kind).astype(np.int64)
+    x = np.ascontiguousarray(_unpack(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel().astype(np.int64)
     return np.cumsum(x) if rising else x
 
 
@@ -394,7 +394,7 @@ class Level:
         self.far = np.zeros((2, rooms), np.int64)
 
     def save(self) -> tuple:
-        return _ints(self.room), self.rooms, _ints(self.up), _ints(self.split), self.keys.tobytes()
+        return _ints(self.room, rising=True), self.rooms, _ints(self.up), _ints(self.split), self.keys.tobytes()
 
     @classmethod
     def load(cls, raw: tuple) -> Level:
@@ -503,29 +503,25 @@ class Restaurants:
                     continue
                 base = self.probabilities(p, vocabulary, i - 1) if i else None
                 old, up = level.t[x], level.up[x]
-                level.t[x] = seat(level.c[x], self._place(i, up, old, base, p, vocabulary), level.tables[level.room[x]] - old, d, theta, rng)
-                change = (level.t[x] - old).astype(float)
-                level.tables += np.bincount(level.room[x], weights=change, minlength=level.rooms).astype(np.int64)
-                if not i:
-                    self.own += np.bincount(up, weights=change, minlength=len(self.own)).astype(np.int64)
-                    continue
-                above = self.levels[i - 1]
-                above.c += np.bincount(up, weights=change, minlength=len(above.c)).astype(np.int64)
-                above.t = np.minimum(above.t, above.c)
-                above.total()
-                if i == 1:
-                    self.own = np.bincount(above.up, weights=above.t, minlength=len(self.own)).astype(np.int64)
-                else:
-                    self._raise(i - 1)
-
-    def _raise(self, i: int) -> None:
-        """Customers above follow tables that had to go."""
-        for j in range(i, 0, -1):
-            level, above = self.levels[j], self.levels[j - 1]
-            above.c = np.bincount(level.up, weights=level.t, minlength=len(above.c)).astype(np.int64)
-            above.t = np.minimum(above.t, above.c)
-            above.total()
-        self.own = np.bincount(self.levels[0].up, weights=self.levels[0].t, minlength=len(self.own)).astype(np.int64)
+                t = seat(level.c[x], self._place(i, up, old, base, p, vocabulary), level.tables[level.room[x]] - old, d, theta, rng)
+                self._move(i, x, t)
+
+    def _move(self, i: int, x: np.ndarray, t: np.ndarray) -> None:
+        """Gives dishes of a level other numbers of tables. Customers above follow, and tables there that
+        their customers left."""
+        while len(x):
+            level = self.levels[i]
+            change, up = t - level.t[x], level.up[x]
+            level.t[x] = t
+            np.add.at(level.tables, level.room[x], change)
+            if not i:
+                np.add.at(self.own, up, change)
+                return
+            i, above = i - 1, self.levels[i - 1]
+            np.add.at(above.c, up, change)
+            np.add.at(above.guests, above.room[up], change)
+            x = np.unique(up[above.t[up] > above.c[up]])
+            t = above.c[x]
 
 
 def _by(key: str, finish) -> object:
@@ -693,9 +689,12 @@ def score(docs: DataFrame, chunk: int = CHUNK, bucket: int = BUCKET, discount: f
     vocabulary, total = (int(x) for x in sums(totals))
     totals = totals.withColumn("kind", F.lit(1))
     asks = each(each(totals, "chunk").mapInArrow(_send_grams(bits, wbits, limit), _ASK), "bucket").mapInArrow(_open(folder, wbits), _ASK)
+    path = scratch_path(spark, "restaurants")
     p = [(top_discount, top_strength)] + [(discount, strength)] * (order - 1)
     for i in range(1, ROUNDS + 2):
-        answers = store(each(asks, "bucket").mapInArrow(_top(wbits, vocabulary, *p[0], i), _ANSWER), "restaurants")
+        answers = store(each(asks, "bucket").mapInArrow(_top(wbits, vocabulary, *p[0], i), _ANSWER), "restaurants", f"{path}/{i}")
+        if i > 1:
+            remove(spark, f"{path}/{i - 1}")
         guests, tables = (int(x) for x in sums(answers))
         asks = each(answers, "chunk").mapInArrow((_round if i <= ROUNDS else _probabilities)(folder, wbits, vocabulary, (guests, tables), p, i), _ASK if i <= ROUNDS else _ANSWER)
     scored = each(asks.union(totals), "chunk").mapInArrow(_score(bits, wbits, limit, float(total), vocabulary), _SCORES)
